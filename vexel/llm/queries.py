@@ -4,20 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vexel.llm import sharding
+from vexel.llm import sharding, token_counts
 from vexel.plans.storage import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_key(read_table(spark, sf_dir, "documents"), 8)
 
 
 def queries() -> dict[str, Query]:
-    return {"op8_sharding": op8_sharding}
+    return {"op1_token_counts": op1_token_counts, "op8_sharding": op8_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
