@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -18,10 +19,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-#: Capitals whose lower case the library knows and Python's tables don't yet (Unicode 16), and the
-#: capital sigma, which has no final form where lower case is by single characters.
-LOWER = str.maketrans({"\ua7cb": "\u0264", "\ua7dc": "\u019b", "Σ": "σ"})
+#: Lower case is by single characters, so the capital sigma has no final form.
+SIGMA = str.maketrans({"Σ": "σ"})
 
 #: Words whose counts a worker remembers.
 MEMO = 600_000
@@ -37,11 +38,25 @@ def byte_symbols() -> list[str]:
     return [chr(b if b in visible else next(spare)) for b in range(256)]
 
 
+@lru_cache(maxsize=1)
+def unassigned() -> re.Pattern[str]:
+    """A character that Python's tables don't know. Pattern engines differ on the class and case of these."""
+    ranges: list[list[int]] = []
+    for c in range(0x110000):
+        if unicodedata.category(chr(c)) == "Cn":
+            if ranges and ranges[-1][1] == c - 1:
+                ranges[-1][1] = c
+            else:
+                ranges.append([c, c])
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) + "]")
+
+
 class MergeCounter:
     """Counts tokens as the vocabulary file's own library does, for its one family: canonical composition, runs of
     white space as one space, lower case, words by pattern, bytes as symbols, a suffix on a word's last symbol."""
 
     def __init__(self, path: str):
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -56,11 +71,15 @@ class MergeCounter:
         self.special = regex.compile("|".join(map(regex.escape, specials))) if specials else None
         self.marks = specials
         self.symbol = byte_symbols()
+        self.library: Tokenizer | None = None
         self.memo: dict[str, int] = {}
 
-    def merged(self, word: str) -> int:
+    def symbols(self, word: str) -> list[str]:
+        return [self.symbol[b] for b in word.encode("utf-8", "surrogatepass")]
+
+    def merged(self, symbols: list[str]) -> int:
         """Initial symbols of a word minus its merges."""
-        parts: list[str | None] = [self.symbol[b] for b in word.encode("utf-8", "surrogatepass")]
+        parts: list[str | None] = list(symbols)
         n = len(parts)
         parts[-1] = f"{parts[-1]}{self.suffix}"
         rank = self.rank
@@ -86,12 +105,16 @@ class MergeCounter:
 
     def _plain(self, text: str) -> int:
         if not text.isascii():
-            text = unicodedata.normalize("NFC", text).translate(LOWER)
+            if unassigned().search(text):
+                library = self.library = self.library or Tokenizer.from_file(self.path)  # its tables alone say where such words end
+                split = library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(text))
+                return sum(self.merged(list(w)) for w, _ in split)
+            text = unicodedata.normalize("NFC", text).translate(SIGMA)
         memo, total = self.memo, 0
         words = self.words.findall(text.lower())
         for w, n in zip(words, map(memo.get, words)):
             if n is None:
-                n = self.merged(w)
+                n = self.merged(self.symbols(w))
                 if len(w) <= MEMO_CHARS:
                     if len(memo) >= MEMO:
                         memo.clear()
