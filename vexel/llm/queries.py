@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vexel.llm import sharding, token_counts
+from vexel.llm import sharding, token_counts, toxicity
 from vexel.plans.storage import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,12 +17,16 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_key(read_table(spark, sf_dir, "documents"), 8)
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_token_counts": op1_token_counts, "op8_sharding": op8_sharding}
+    return {"op1_token_counts": op1_token_counts, "op3_toxicity": op3_toxicity, "op8_sharding": op8_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
