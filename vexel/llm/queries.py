@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vexel.llm import sharding, token_counts, toxicity
+from vexel.llm import exact_dedup, sharding, token_counts, toxicity
 from vexel.plans.storage import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,9 +25,25 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_key(read_table(spark, sf_dir, "documents"), 8)
 
 
+def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.dedup(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_token_counts": op1_token_counts, "op3_toxicity": op3_toxicity, "op8_sharding": op8_sharding}
+    return {"op1_token_counts": op1_token_counts, "op3_toxicity": op3_toxicity, "op8_sharding": op8_sharding, "op9_exact_dedup": op9_exact_dedup}
+
+
+OP9_SQL = """
+WITH n AS (
+  SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
+), g AS (
+  SELECT doc_id, text_sha256, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+         row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id NULLS LAST) = 1 AS kept
+  FROM n WINDOW w AS (PARTITION BY text_sha256)
+)
+SELECT doc_id, keep_id, group_size, kept, text_sha256 FROM g
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_exact_dedup": OP9_SQL}
