@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vexel.llm import exact_dedup, sharding, token_counts, toxicity
+from vexel.llm import exact_dedup, mixing, sharding, token_counts, toxicity
 from vexel.plans.storage import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,8 +29,12 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_token_counts": op1_token_counts, "op3_toxicity": op3_toxicity, "op8_sharding": op8_sharding, "op9_exact_dedup": op9_exact_dedup}
+    return {"op1_token_counts": op1_token_counts, "op3_toxicity": op3_toxicity, "op8_sharding": op8_sharding, "op9_exact_dedup": op9_exact_dedup, "op10_mixing": op10_mixing}
 
 
 OP9_SQL = """
