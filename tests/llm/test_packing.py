@@ -120,3 +120,21 @@ def test_blocks_carry_over():
     rows = [r for i in range(200) for r in p.add(i, "some words here. " * (i % 37))] + p.close()
     total = sum(len(e.encode("some words here. " * (i % 37))) for i in range(200))
     assert sum(r[2] for r in rows) == total and sorted({r[5] for r in rows}) == list(range(max(r[5] for r in rows) + 1))
+
+
+def test_open_end_leaves_out_the_last_padding():
+    rnd = random.Random(4)
+    for _ in range(200):
+        places = sorted(rnd.sample(range(1, 80), rnd.randint(20, 60)))
+        places = [p for p in places]
+        if any(b - a > 16 for a, b in zip([0, *places], places)):
+            continue
+        penalties = [rnd.choice([0, 4]) for _ in places]
+        ends = pk.best_cuts(places, penalties, 16, open_end=True)
+        price = lambda e: sum(penalties[places.index(x)] for x in e) + sum(16 - (b - a) for a, b in zip([0, *e[:-1]], e[:-1]))
+        assert ends[-1] == places[-1] and ends[-1] - ([0, *ends])[-2] <= 16
+        cost = {0: 0}
+        for p, c in zip(places, penalties, strict=True):
+            cost[p] = c + min(cost[q] + 16 - (p - q) for q in cost if p - q <= 16)
+        last = places[-1]
+        assert price(ends) == penalties[-1] + min(cost[q] for q in cost if q < last and last - q <= 16)

@@ -94,9 +94,10 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def best_cuts(places: Sequence[int], penalties: Sequence[int], size: int = SIZE) -> list[int]:
+def best_cuts(places: Sequence[int], penalties: Sequence[int], size: int = SIZE, open_end: bool = False) -> list[int]:
     """The ends of the windows, the last place included, that cost least. places ascend from above 0, no two next
-    to each other (or 0) further apart than size."""
+    to each other (or 0) further apart than size. With open_end the last window's padding doesn't count, because it
+    goes on or needs none."""
     place, cost, back = [0, *places], [0], [0]
     value = [0]
     queue = deque([0])
@@ -105,6 +106,8 @@ def best_cuts(places: Sequence[int], penalties: Sequence[int], size: int = SIZE)
         while place[queue[0]] < p - size:
             queue.popleft()
         i = queue[0]
+        if open_end and j == len(place) - 1:
+            i = min((i for i in range(j - 1, -1, -1) if place[i] >= p - size), key=cost.__getitem__)
         c = penalties[j - 1] + value[i] + size - p
         back.append(i)
         cost.append(c)
@@ -150,7 +153,7 @@ class Packer:
 
     def _flush(self, last: bool) -> list[tuple]:
         ids = np.concatenate(self.ids)
-        ends = best_cuts(self.places, self.penalties, self.size)
+        ends = best_cuts(self.places, self.penalties, self.size, open_end=True)
         open_ = ends[-2] if len(ends) > 1 else 0
         if last:
             ends.pop()
