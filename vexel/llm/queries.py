@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vexel.llm import exact_dedup, mixing, packing, sharding, token_counts, toxicity
+from vexel.llm import exact_dedup, mixing, near_dedup, packing, sharding, token_counts, toxicity
 from vexel.plans.storage import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(read_table(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_key(read_table(spark, sf_dir, "documents"), 8)
 
@@ -38,7 +42,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_token_counts": op1_token_counts, "op3_toxicity": op3_toxicity, "op5_packing": op5_packing, "op8_sharding": op8_sharding, "op9_exact_dedup": op9_exact_dedup, "op10_mixing": op10_mixing}
+    return {"op1_token_counts": op1_token_counts, "op3_toxicity": op3_toxicity, "op5_packing": op5_packing, "op6_near_dedup": op6_near_dedup, "op8_sharding": op8_sharding, "op9_exact_dedup": op9_exact_dedup, "op10_mixing": op10_mixing}
 
 
 OP9_SQL = """
