@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vexel.llm import exact_dedup, mixing, near_dedup, packing, sharding, token_counts, toxicity
+from vexel.llm import ann, exact_dedup, mixing, near_dedup, packing, sharding, token_counts, toxicity
 from vexel.plans.storage import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read_table(spark, sf_dir, "embeddings"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -42,7 +46,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_token_counts": op1_token_counts, "op3_toxicity": op3_toxicity, "op5_packing": op5_packing, "op6_near_dedup": op6_near_dedup, "op8_sharding": op8_sharding, "op9_exact_dedup": op9_exact_dedup, "op10_mixing": op10_mixing}
+    return {"op1_token_counts": op1_token_counts, "op2_ann": op2_ann, "op3_toxicity": op3_toxicity, "op5_packing": op5_packing, "op6_near_dedup": op6_near_dedup, "op8_sharding": op8_sharding, "op9_exact_dedup": op9_exact_dedup, "op10_mixing": op10_mixing}
 
 
 OP9_SQL = """
