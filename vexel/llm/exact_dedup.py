@@ -15,12 +15,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.window import Window
 
+from vexel.llm.components import rows_of
 from vexel.plans.storage import materialise, shared_path
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: State on disk. Files aren't allocated ahead, as each of many small stores would hold room for large ones.
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 #: Files of the line table that one micro-batch takes.
 FILES_PER_BATCH = 1000
 #: Digests of groups up to which their 8-byte hashes are broadcast (some 50 MB as a hash table).
@@ -48,8 +52,9 @@ def run_stream(spark: SparkSession, path: str, schema, checkpoint: str, out: str
     Each batch appends the changed states to out. May be called again when files have been added: it goes on from
     the checkpointed state.
     """
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STATE_CONF}
+    for k, v in STATE_CONF.items():
+        spark.conf.set(k, v)
     try:
         lines = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
@@ -61,10 +66,8 @@ def run_stream(spark: SparkSession, path: str, schema, checkpoint: str, out: str
         query.awaitTermination()
         return query
     finally:
-        if before is None:
-            spark.conf.unset(PROVIDER)
-        else:
-            spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 STATE = "digest string, id {id}, locator long, n long, batch int"
@@ -135,9 +138,5 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that stay, with their own columns."""
-    stays = group(docs, key=key, text=text).where(F.col("locator") == F.col("keep_at")).select(F.col("id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    own = docs.withColumn("__own", F.sha2(normalised(F.col(f"`{text}`")), 256))
-    met = own.join(stays, F.col(f"`{key}`").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha")), "left_semi")
-    # rows that repeat both key and text all match; the join has already dealt them out by these columns
-    first = Window.partitionBy(key, "__own").orderBy(F.lit(1))
-    return met.withColumn("__nth", F.row_number().over(first)).where("__nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    stays = group(docs, key=key, text=text).where(F.col("locator") == F.col("keep_at")).select("id", F.col("text_sha256").alias("own"))
+    return rows_of(docs, stays, F.sha2(normalised(F.col(f"`{text}`")), 256), key)
