@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vexel.llm import ann, exact_dedup, mixing, near_dedup, packing, sharding, token_counts, toxicity, warc
+from vexel.llm import ann, exact_dedup, lm_scoring, mixing, near_dedup, packing, sharding, token_counts, toxicity, warc
 from vexel.plans.storage import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +38,10 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_key(read_table(spark, sf_dir, "documents"), 8)
 
@@ -50,7 +55,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_token_counts": op1_token_counts, "op2_ann": op2_ann, "op3_toxicity": op3_toxicity, "op4_warc": op4_warc, "op5_packing": op5_packing, "op6_near_dedup": op6_near_dedup, "op8_sharding": op8_sharding, "op9_exact_dedup": op9_exact_dedup, "op10_mixing": op10_mixing}
+    return {"op1_token_counts": op1_token_counts, "op2_ann": op2_ann, "op3_toxicity": op3_toxicity, "op4_warc": op4_warc, "op5_packing": op5_packing, "op6_near_dedup": op6_near_dedup, "op7_lm_scoring": op7_lm_scoring, "op8_sharding": op8_sharding, "op9_exact_dedup": op9_exact_dedup, "op10_mixing": op10_mixing, "pipeline": corpus_pipeline.run}
 
 
 OP4_SQL = """
