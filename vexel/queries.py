@@ -55,7 +55,7 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.element_at(F.array(*[F.lit(c) for c in CATEGORIES]), (i % 5 + 1).cast("int")).alias("category"),
         (F.lit(0.1) * (i % 10)).alias("score"),
     )
-    return vector_table(read_table(spark, sf_dir, "embeddings").select(i.alias("id"), "embedding", F.to_json(meta).alias("metadata")))
+    return vector_table(read_table(spark, sf_dir, "embeddings").select(i.alias("id"), "embedding", F.to_json(meta).alias("metadata")), slot="id")
 
 
 def vector(spark: SparkSession, sf_dir: str, i: int = 0) -> list[float]:

@@ -11,8 +11,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 METRICS = ("cosine", "l2")
-#: Rows of a range that are numbered by one task.
-RANGES = 4096
+#: Ranges of about equal size that rows are numbered in.
+RANGES = 256
 
 VECTORS = T.StructType(
     [
@@ -57,34 +57,39 @@ def check_k(k: int) -> int:
     return int(k)
 
 
-def vector_table(rows: DataFrame, dim: int | None = None, order: str = "id", start: int = 0) -> DataFrame:
+def vector_table(rows: DataFrame, dim: int | None = None, order: str = "id", start: int = 0, slot: str | None = None) -> DataFrame:
     """rows (id, embedding, optional metadata and deleted) as a vector table, slots numbered in the order given.
 
     With dim, a row of another length fails the query that reads it. Slots are given in two levels (ranges of the
-    order, then rows of a range), so no task numbers the whole table.
+    order, then rows of a range), so no task numbers the whole table. Where a column already holds unique numbers in
+    insertion order, name it as slot: then nothing is shuffled.
     """
     e = F.col("embedding").cast("array<float>")
     if dim is not None:
         e = F.when(F.size(e) == dim, e).otherwise(F.raise_error(F.lit(f"an embedding hasn't {dim} dimensions")).cast("array<float>"))
     out = rows.select(
-        F.col(order).alias("__order"),
+        F.col(slot or order).alias("__order"),
         F.col("id").cast("long").alias("id"),
         e.alias("embedding"),
         (F.col("metadata") if "metadata" in rows.columns else F.lit("")).alias("metadata"),
         (F.col("deleted") if "deleted" in rows.columns else F.lit(False)).alias("deleted"),
     )
+    if slot is not None:
+        return out.withColumn("slot", F.col("__order").cast("long")).select(*VECTORS.fieldNames())
     return numbered(out, "__order", start=start).drop("__order").select(*VECTORS.fieldNames())
 
 
 def numbered(rows: DataFrame, *order: str, name: str = "slot", start: int = 0) -> DataFrame:
     """rows with dense numbers from start in the given order, which should be total.
 
-    Rows are dealt into ranges of the first order column between its extremes, counted, and numbered inside them.
+    Rows are dealt into ranges between approximate quantiles of the first order column, however it is distributed,
+    counted, and numbered inside their range.
     """
-    key = rows.select(F.min(order[0]).cast("double").alias("low"), F.max(order[0]).cast("double").alias("high"))
-    width = F.greatest((F.col("high") - F.col("low")) / RANGES, F.lit(1e-9))
-    part = F.least(F.floor((F.col(order[0]).cast("double") - F.col("low")) / width), F.lit(RANGES - 1)).cast("int")
-    dealt = rows.crossJoin(F.broadcast(key)).withColumn("__part", F.coalesce(part, F.lit(-1))).drop("low", "high")  # one row
+    key = F.col(order[0]).cast("double")
+    places = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
+    splits = rows.agg(F.percentile_approx(key, places, 10 * RANGES).alias("__splits"))
+    part = F.size(F.filter("__splits", lambda x: x < F.col(order[0]).cast("double")))
+    dealt = rows.crossJoin(F.broadcast(splits)).withColumn("__part", F.when(key.isNull(), F.lit(-1)).otherwise(part)).drop("__splits")  # splits is one row
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # over RANGES + 1 counts at most
     starts = dealt.groupBy("__part").agg(F.count("*").alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
     inside = Window.partitionBy("__part").orderBy(*order)
