@@ -10,9 +10,11 @@ length (Christiani 2020), and is raised for the few documents with a coordinate
 
 BANDS bands of ROWS coordinates give buckets; pairs of a bucket are checked exactly by the weighted Jaccard
 similarity of their shingles. Documents with equal shingles are joined first, so copies are one node. Buckets of
-up to SMALL nodes give all pairs. In larger ones each node meets a leader (which one depends on the band, so that
-a node of many buckets meets several); where a bucket still holds more than one class, its nodes meet the leaders of
-the other classes, until that joins no more classes.
+up to SMALL nodes give all pairs. In larger ones each node meets a leader: in two bands of three the node that shares
+most bucket places with others, which lies in the middle of a family of copies, else one picked by hash. Nodes that did
+not join their leader's class choose a new leader among themselves, round after round, until a round joins nothing. A
+link of a larger bucket is thus found if its ends meet in a leader's class; two nodes that are similar to each other
+and to no leader they meet may stay apart.
 """
 
 from __future__ import annotations
@@ -33,19 +35,17 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
 #: Nodes of a bucket up to which all pairs are checked.
-SMALL = 8
-#: Classes of a bucket up to which every node meets the leaders of all others.
-CLASSES = 8
+SMALL = 12
 #: Documents whose darts are thrown together.
 TOGETHER = 256
 #: Distinct words a worker remembers.
-MEMO = 500_000
+MEMO = 200_000
 
 WORD = re.compile(r"\w+")
 # The increment and multipliers of the splitmix64 generator.
 GOLDEN, MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-#: Masks that order the nodes of a bucket for the choice of its leader; the band says which.
-MASKS = (0, 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D, 0x1B873593CC9E2D51)
+#: Orders the nodes of a bucket where its leader is picked by hash.
+MASK = 0x5851F42D4C957F2D
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -179,35 +179,30 @@ def sign(docs: DataFrame, key: str = "doc_id", text: str = "text", bands: int =
     return texts.mapInArrow(run, f"id {kind}, own string, digest binary, weight long, bands array<long>")
 
 
-def _masked(node: Column, band: Column) -> Column:
-    """The node's order among those of a bucket; the same again gives the node back."""
-    mask = F.lit(MASKS[0])
-    for i in range(1, len(MASKS)):
-        mask = F.when(F.pmod(band, F.lit(len(MASKS))) == i, F.lit(MASKS[i])).otherwise(mask)
-    return node.bitwiseXOR(mask.cast("long"))
-
-
 def _ordered(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def first_pairs(buckets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of buckets (band, node, m, lead): all of small ones, node and leader of larger ones."""
-    small, large = buckets.where(F.col("m") <= SMALL), buckets.where((F.col("m") > SMALL) & (F.col("node") != F.col("lead")))
+def small_pairs(buckets: DataFrame) -> DataFrame:
+    """All pairs (a, b) of the buckets (band, node, m) of up to SMALL nodes."""
+    small = buckets.where(F.col("m") <= SMALL)
     other = small.select("band", F.col("node").alias("other"))
-    pairs = small.join(other, "band").where("node < other").select(F.col("node").alias("a"), F.col("other").alias("b"))
-    return pairs.union(large.select(*_ordered(F.col("node"), F.col("lead")))).distinct()
+    return small.join(other, "band").where("node < other").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
+
+
+def with_leaders(front: DataFrame) -> DataFrame:
+    """front (band, node, score) with each band's leader."""
+    picked = F.min(F.col("node").bitwiseXOR(F.lit(MASK))).bitwiseXOR(F.lit(MASK))
+    middle = F.max(F.struct("score", "node"))["node"]
+    leads = front.groupBy("band").agg(picked.alias("picked"), middle.alias("middle"), F.count("*").alias("n")).where("n > 1")
+    return front.join(leads, "band").select("band", "node", "score", F.when(F.pmod("band", F.lit(3)) == 2, F.col("picked")).otherwise(F.col("middle")).alias("lead"))
 
 
-def next_pairs(large: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of nodes of larger buckets (band, node) with the leaders of other classes there; in a bucket of more
-    than CLASSES classes, with the leader of the class that comes next in the band's order."""
-    placed = large.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
-    leaders = placed.groupBy("band", "label").agg(F.min(_masked(F.col("node"), F.col("band"))).alias("order"))
-    count = leaders.groupBy("band").agg(F.count("*").alias("c"), F.min("order").alias("first"), F.max("order").alias("last")).where("c > 1")
-    mixed = leaders.join(count, "band").select("band", F.col("label").alias("other"), F.col("order"), "c", (F.col("order") == F.col("first")).alias("is_first"), (F.col("order") == F.col("last")).alias("is_last"))
-    met = placed.join(mixed.where(f"c <= {CLASSES} or is_first or is_last"), "band").where("label <> other")
-    return met.select(*_ordered(F.col("node"), _masked(F.col("order"), F.col("band")))).distinct()
+def apart(led: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of led (band, node, score, lead) whose class isn't their leader's."""
+    own = labels.select("node", F.col("label").alias("own"))
+    led = led.join(own, "node", "left").join(labels.select(F.col("node").alias("lead"), F.col("label").alias("theirs")), "lead", "left")
+    return led.where(F.coalesce("own", "node") != F.coalesce("theirs", "lead")).select("band", "node", "score")
 
 
 def check_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str, least: float) -> DataFrame:
@@ -251,25 +246,25 @@ def classes(docs: DataFrame, least: float = SIMILARITY, key: str = "doc_id", tex
     groups = some.groupBy("digest").agg(best.alias("r"), F.first("weight").alias("weight"), F.first("bands").alias("bands"))
     nodes = materialise(groups.select("digest", F.col("r.id").alias("rep"), F.col("r.own").alias("own"), "weight", "bands").withColumn("node", F.monotonically_increasing_id()), "near-nodes")
     spread = nodes.select("node", F.explode("bands").alias("band"))
-    shared = spread.groupBy("band").agg(F.count("*").alias("m"), F.min(_masked(F.col("node"), F.col("band"))).alias("order")).where("m > 1")
-    buckets = materialise(spread.join(shared, "band").select("band", "node", "m", _masked(F.col("order"), F.col("band")).alias("lead")), "near-buckets")
+    shared = spread.groupBy("band").agg(F.count("*").alias("m")).where("m > 1")
+    buckets = materialise(spread.join(shared, "band").select("band", "node", "m"), "near-buckets")
     light = nodes.select("node", "rep", "own", "weight")
-    tried = first_pairs(buckets)
+    large = buckets.where(F.col("m") > SMALL)
+    scores = large.groupBy("node").agg(F.sum("m").alias("score"))
+    led = materialise(with_leaders(large.join(scores, "node").select("band", "node", "score")), "near-led")
+    starred = led.where("node <> lead").select(*_ordered(F.col("node"), F.col("lead"))).distinct()
+    tried = materialise(small_pairs(buckets).union(starred).distinct(), "near-tried")
     links = materialise(check_pairs(tried, light, docs, key, text, least), "near-links")
     labels = components(links)
-    large = buckets.where(F.col("m") > SMALL).select("band", "node")
-    if not large.isEmpty():
-        tried = materialise(tried, "near-tried")
-        while True:
-            more = materialise(next_pairs(large, labels).join(tried, ["a", "b"], "left_anti"), "near-more")
-            if more.isEmpty():
-                break
-            found = materialise(check_pairs(more, light, docs, key, text, least), "near-links")
-            tried = tried.union(more)
-            if found.isEmpty():
-                break
-            links = links.union(found)
-            labels = components(links)
+    while not led.isEmpty():
+        led = materialise(with_leaders(apart(led, labels)), "near-led")
+        more = led.where("node <> lead").select(*_ordered(F.col("node"), F.col("lead"))).distinct().join(tried, ["a", "b"], "left_anti")
+        more = materialise(more, "near-more")
+        found = materialise(check_pairs(more, light, docs, key, text, least), "near-links")
+        if found.isEmpty():
+            break
+        tried, links = tried.union(more), links.union(found)
+        labels = components(links)
     degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("links"))
     placed = nodes.select("node", "digest").join(labels, "node", "left").join(degree, "node", "left")
     placed = placed.select("digest", F.coalesce("label", "node").alias("label"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
