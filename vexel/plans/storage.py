@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_made: set[str] = set()
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -32,8 +33,17 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_root(spark)}/vexel-{name}-{uuid.uuid4().hex}"
+    """A fresh path for an intermediate table in the shared folder, under one folder per application that is removed
+    when the driver's JVM ends."""
+    app = spark.sparkContext.applicationId
+    folder = f"{shared_root(spark)}/vexel-{app}"
+    if folder not in _made:
+        at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(at)
+        files.deleteOnExit(at)
+        _made.add(folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
