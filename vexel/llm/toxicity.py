@@ -2,7 +2,7 @@
 
 Learning. From labelled texts, features (a whole word, or a word's beginning) get the log-odds of toxic against
 clean documents under an informative Dirichlet prior (Monroe, Colaresi and Quinn 2008); near copies among the
-learning rows count once. Features whose log-odds exceed MIN_Z standard errors are kept.
+learning rows count once. Features whose log-odds reach MIN_ODDS and exceed MIN_Z standard errors are kept.
 
 Scoring. A token scores the largest log-odds of its features, any other token -GAP_COST. A linear-time scan (Ruzzo and
 Tompa 1999) finds every maximal-scoring segment of a whole text. Under clean text, a segment's score S in n tokens
@@ -36,11 +36,13 @@ MAX_ROWS = 20_000
 #: A feature must be in this many toxic learning rows.
 MIN_ROWS = 3
 MIN_Z = 3.3
+#: Least log-odds of a feature: common words that are only a little more frequent in toxic texts are no evidence.
+MIN_ODDS = 1.0
 GAP_COST = 0.5
 #: A passage is significant below this many expected in clean text of the same length.
 E_VALUE = 0.05
 #: Distinct words a worker remembers.
-MEMO = 500_000
+MEMO = 100_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -81,10 +83,15 @@ class _Scores(dict):
     """Score of a word, remembered; 0 stands for a token without evidence."""
 
     def __init__(self, weights: dict[str, float]):
-        self.weights = weights
+        self.whole = {f[1:]: s for f, s in weights.items() if f[0] == "="}
+        self.begin = {f[1:]: s for f, s in weights.items() if f[0] == "^"}
+        self.lengths = sorted({len(f) for f in self.begin})
 
     def __missing__(self, word: str) -> float:
-        s = max((self.weights.get(f, 0.0) for f in features_of(word)), default=0.0)
+        s = self.whole.get(word, 0.0)
+        for k in self.lengths:
+            if len(word) >= k and (b := self.begin.get(word[:k], 0.0)) > s:
+                s = b
         if len(self) >= MEMO:
             self.clear()
         self[word] = s
@@ -219,7 +226,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, key: str
         prior = 0.5 + 10 * (y1 + y0) / (n1 + n0)
         a, b = y1 + prior, y0 + prior
         odds = math.log(a / (n1 + 2 * prior - y1)) - math.log(b / (n0 + 2 * prior - y0)) if n1 + 2 * prior > y1 else 0.0
-        if odds / math.sqrt(1 / a + 1 / b) > MIN_Z:
+        if odds >= MIN_ODDS and odds / math.sqrt(1 / a + 1 / b) > MIN_Z:
             weights[f] = odds
 
     first = Model(weights, 1.0, 0.0, [0.0] * 4)
