@@ -3,7 +3,7 @@ import random
 import pytest
 
 from vexel.operators import lifecycle as lc
-from vexel.schema import VECTORS, vector_table
+from vexel.schema import VECTORS, numbered, vector_table
 from vexel.streaming.oplog import apply_log
 
 
@@ -92,3 +92,22 @@ def test_stream(spark, tmp_path):
         apply_log(spark, log, snap, c, on_insert=lambda d: seen.append(d.count()), on_delete=lambda d: seen.append(d.count())).awaitTermination()
         assert rows_of(lc.load(spark, snap)) == brute(lines[:b])
     assert sum(seen) == sum(op != "other" for op, _ in lines)
+
+
+def test_numbers_are_dense_in_order(spark):
+    rnd = random.Random(2)
+    values = [0] * 50 + [rnd.randint(0, 9) for _ in range(200)] + [10**17 + i for i in range(40)] + [-(10**15)]
+    df = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "v long, i int").repartition(5)
+    got = numbered(df, "v", "i", name="n", start=3).orderBy("n").collect()
+    assert [(r.v, r.i) for r in got] == sorted((v, i) for i, v in enumerate(values))
+    assert [r.n for r in got] == list(range(3, 3 + len(values)))
+    assert numbered(df.limit(0), "v").count() == 0
+    one = numbered(spark.createDataFrame([(None,), (None,)], "v long"), "v").collect()
+    assert sorted(r.slot for r in one) == [0, 1]
+
+
+def test_known_slots_are_not_shuffled(spark):
+    rows = spark.createDataFrame([(i, [1.0]) for i in range(9)], "id long, embedding array<double>")
+    t = vector_table(rows, slot="id")
+    assert [r.slot for r in t.orderBy("id").collect()] == list(range(9))
+    assert "Exchange" not in t._jdf.queryExecution().executedPlan().toString()
