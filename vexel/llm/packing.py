@@ -40,7 +40,7 @@ BLOCK = 1 << 18
 #: Fixed value: the pattern that byte-level vocabularies of this family split texts by.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Runs of this many characters without or of white space go to the slower library, whose cost on them is even.
-LONG_RUN = re.compile(r"\S{20000}|\s{2000}")
+LONG_WORD, LONG_SPACE = 20_000, re.compile(r"\s{2000}")
 
 
 class Encoder:
@@ -55,7 +55,7 @@ class Encoder:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         ranks = {bytes(byte[c] for c in token): i for token, i in vocab.items() if token not in self.special}
         self.engine = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
-        self.library = Tokenizer.from_file(path)
+        self.path, self.library = path, None
         self.ends_sentence = np.zeros(max(vocab.values()) + 2, bool)
         for token, i in ranks.items():
             self.ends_sentence[i] = token.rstrip(b" ")[-1:] in (b".", b"!", b"?", b"\n")
@@ -64,7 +64,8 @@ class Encoder:
         """The ids of a whole text, then END."""
         if not text:
             return np.array([END], np.uint32)
-        if LONG_RUN.search(text):
+        if len(text) >= 2000 and (LONG_SPACE.search(text) or len(text) >= LONG_WORD and max(map(len, text.split()), default=0) >= LONG_WORD):
+            self.library = self.library or Tokenizer.from_file(self.path)
             ids = self.library.encode(text, add_special_tokens=False).ids
         else:
             ids = self.engine.encode(text, allowed_special="all")
