@@ -30,6 +30,14 @@ def test_probabilities():
     assert abs(np.exp(lm.log_probs(p, context, np.arange(lm.VOCABULARY))).sum() - 1) < 1e-4
 
 
+def test_wide_logits_stay_finite():
+    p = network()
+    p["B"] *= 200
+    context = np.tile(np.array([[5, 9, lm.PAD, 77]]), (lm.VOCABULARY, 1))
+    found = lm.log_probs(p, context, np.arange(lm.VOCABULARY))
+    assert np.isfinite(found).all() and abs(np.exp(found).sum() - 1) < 1e-3
+
+
 def test_gradients():
     p = {k: v.astype(np.float64) for k, v in network().items()}
     rng = np.random.default_rng(4)

@@ -34,7 +34,7 @@ SHARD_WINDOWS = 100_000
 ROUNDS = 2
 BATCH, RATE = 512, 0.05
 #: Words that a partition counts before it hands the counts on, and words whose ids a worker remembers.
-COUNTED, MEMO = 500_000, 500_000
+COUNTED, MEMO = 500_000, 200_000
 #: Tokens that are scored together.
 TOGETHER = 16_384
 
@@ -100,21 +100,51 @@ def _log_softmax(z: np.ndarray) -> np.ndarray:
     return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
 
+def _head(weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Weights over bias, shifted so that no logit of a hidden layer in [-1, 1] is above 0; the range must be safe."""
+    high = (bias + np.abs(weights).sum(axis=0)).max()
+    low = (bias - np.abs(weights).sum(axis=0)).min()
+    if high - low > 80:  # exp would underflow in single precision
+        weights, bias = weights.astype(np.float64), bias.astype(np.float64)
+    return np.vstack([weights, (bias - high)[None, :]])
+
+
+def _chosen(h1: np.ndarray, head: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """Log-softmax of the chosen columns of h1 @ head."""
+    z = h1 @ head
+    picked = z[np.arange(len(z)), column].astype(np.float64)
+    np.exp(z, out=z)
+    return picked - np.log(z.sum(axis=1))
+
+
+def prepared(p: Params) -> Params:
+    """What log_probs needs: what each id adds to the hidden layer at each place, and the output layers."""
+    return {
+        "tables": np.ascontiguousarray(p["E"] @ p["W"].reshape(2 * SIDE, DIM, HIDDEN)), "b": p["b"],
+        "classes": _head(p["A"], p["a"]), **{f"members{k}": _head(p["B"][k], p["c"][k]) for k in range(CLASSES)},
+    }
+
+
 def log_probs(p: Params, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Log-probability of each target given its context."""
-    tables = p["E"] @ p["W"].reshape(2 * SIDE, DIM, HIDDEN)  # what each id adds to the layer at each place
-    z = p["b"] + tables[0][context[:, 0]]
-    for k in range(1, 2 * SIDE):
-        z += tables[k][context[:, k]]
-    h = np.tanh(z)
+    """Log-probability of each target given its context; p is prepared here, unless it is already."""
+    q = p if "tables" in p else prepared(p)
     cls, member = place(target)
-    out = _log_softmax(h @ p["A"] + p["a"])[np.arange(len(target)), cls].astype(np.float64)
     order = np.argsort(cls, kind="stable")
     ends = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+    context, cls, member = context[order], cls[order], member[order]
+    h1 = np.ones((len(target), HIDDEN + 1), q["b"].dtype)
+    z = q["tables"][0][context[:, 0]]
+    for k in range(1, 2 * SIDE):
+        z += q["tables"][k][context[:, k]]
+    z += q["b"]
+    np.tanh(z, out=h1[:, :HIDDEN])
+    found = _chosen(h1, q["classes"], cls)
     for k in range(CLASSES):
-        rows = order[ends[k] : ends[k + 1]]
-        if len(rows):
-            out[rows] += _log_softmax(h[rows] @ p["B"][k] + p["c"][k])[np.arange(len(rows)), member[rows]]
+        a, b = ends[k], ends[k + 1]
+        if a < b:
+            found[a:b] += _chosen(h1[a:b], q[f"members{k}"], member[a:b])
+    out = np.empty(len(target))
+    out[order] = found
     return out
 
 
@@ -194,13 +224,15 @@ def _windows(texts: DataFrame, ids: Ids) -> DataFrame:
             hs, ns, ws = [], [], []
             for t in b.column(0):
                 text = t.as_py()
-                own = ids.of(text)
+                own = tokens_of(text)
                 h = xxh64_intdigest(text or "")
-                at = np.arange(h % STRIDE, len(own), STRIDE)
-                if len(at):
+                at = range(h % STRIDE, len(own), STRIDE)
+                if at:
+                    places = [*range(-SIDE, 0), *range(1, SIDE + 1), 0]
+                    w = [ids[own[i + k]] if 0 <= i + k < len(own) else PAD for i in at for k in places]
                     hs.append((h >> 1) ^ len(own))
                     ns.append(len(at))
-                    ws.append(np.column_stack([contexts(own)[at], own[at]]).astype(np.uint16).tobytes())
+                    ws.append(np.array(w, np.uint16).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(ns, pa.int64()), pa.array(ws, pa.binary())], ["h", "n", "w"])
 
     return texts.mapInArrow(run, "h long, n long, w binary")
@@ -268,7 +300,7 @@ def score(docs: DataFrame, ids: Ids, p: Params, key: str = "doc_id", text: str =
     like = {k: np.empty(v.shape, np.float32) for k, v in p.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = unpack(shared.value, like)
+        net = prepared(unpack(shared.value, like))
         for b in batches:
             rows = [ids.of(t.as_py()) for t in b.column(1)]
             sizes = np.array([len(r) for r in rows], np.int64)
