@@ -347,7 +347,7 @@ def _log(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
     rows = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     n = rows.count()
     lines = lifecycle.insert_ops(rows, 0).unionByName(lifecycle.delete_ops(rows.where("id % 3 = 0"), n)).unionByName(lifecycle.insert_ops(rows.where("id % 9 = 0"), 2 * n))
-    return lines, n
+    return materialise(lines, "query-lines"), n  # a log is a stored table
 
 
 def _flags(t: DataFrame) -> DataFrame:
