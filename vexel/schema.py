@@ -86,8 +86,8 @@ def numbered(rows: DataFrame, *order: str, name: str = "slot", start: int = 0) -
     counted, and numbered inside their range.
     """
     key = F.col(order[0]).cast("double")
-    places = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
-    splits = rows.agg(F.percentile_approx(key, places, 10 * RANGES).alias("__splits"))
+    places = ", ".join(f"{i / RANGES}D" for i in range(1, RANGES))
+    splits = rows.select(key.alias("__key")).agg(F.expr(f"percentile_approx(__key, array({places}), {10 * RANGES})").alias("__splits"))
     part = F.size(F.filter("__splits", lambda x: x < F.col(order[0]).cast("double")))
     dealt = rows.crossJoin(F.broadcast(splits)).withColumn("__part", F.when(key.isNull(), F.lit(-1)).otherwise(part)).drop("__splits")  # splits is one row
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # over RANGES + 1 counts at most
