@@ -36,10 +36,12 @@ SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
 #: Nodes of a bucket up to which all pairs are checked.
 SMALL = 12
+#: Texts up to which 8-byte hashes of their names are broadcast (some 50 MB as a hash table).
+BROADCAST_ROWS = 1_000_000
 #: Documents whose darts are thrown together.
 TOGETHER = 256
 #: Distinct words a worker remembers.
-MEMO = 200_000
+MEMO = 100_000
 
 WORD = re.compile(r"\w+")
 # The increment and multipliers of the splitmix64 generator.
@@ -214,9 +216,12 @@ def check_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, t
     w = nodes.select("node", "weight")
     pairs = pairs.join(w.select(F.col("node").alias("a"), F.col("weight").alias("wa")), "a").join(w.select(F.col("node").alias("b"), F.col("weight").alias("wb")), "b")
     pairs = materialise(pairs.where(F.least("wa", "wb") >= F.greatest("wa", "wb") * F.lit(least - 1e-9)).select("a", "b"), "near-pairs")
-    needed = nodes.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node", "left_semi")
+    needed = materialise(nodes.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node", "left_semi"), "near-needed")
     rows = docs.select(F.col(f"`{key}`").alias("id"), _own(text).alias("o"), F.col(f"`{text}`").alias("t"))
     at = needed.select("node", "rep", "own")
+    if at.count() <= BROADCAST_ROWS:  # texts that aren't needed stay where they are
+        wanted = at.select(F.xxhash64("rep", "own").alias("h")).distinct()
+        rows = rows.join(F.broadcast(wanted), F.xxhash64("id", "o") == F.col("h"), "left_semi")
     texts = rows.join(at, rows.id.eqNullSafe(at.rep) & (rows.o == at.own)).select("node", "t").dropDuplicates(["node"])
     texts = materialise(texts, "near-texts")
     met = pairs.join(texts.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b")
