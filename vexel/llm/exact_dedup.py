@@ -105,7 +105,8 @@ def group(docs: DataFrame, digest: Callable[[Column], Column] | None = None, key
         lines = spark.read.parquet(lines_path)
         path = shared_path(spark, "dedup-state")
         run_stream(spark, lines_path, lines.schema, f"{path}/checkpoint", f"{path}/states")
-        state = latest_state(spark, f"{path}/states", lines.schema["id"].dataType.simpleString())
+        # written, so that its joins are with a plain table and Spark can split a digest that very many rows share
+        state = materialise(latest_state(spark, f"{path}/states", lines.schema["id"].dataType.simpleString()), "dedup-kept")
         mixed = materialise(_mixed(texts, state.where("group_size > 1"), broadcast_rows), "dedup-mixed")
         if mixed.isEmpty():
             return lines.join(state, "digest")
