@@ -277,7 +277,8 @@ def classes(docs: DataFrame, least: float = SIMILARITY, key: str = "doc_id", tex
     # a text without words is a class of its own
     member = materialise(member.select("id", "own", "row", F.coalesce("label", -1 - F.col("row")).alias("label"), F.coalesce("links", F.lit(0)).cast("long").alias("links")), "near-member")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
-    whole = member.groupBy("label").agg(first.alias("f"), F.count("*").alias("class_size"))
+    # written, so that the join is with a plain table and Spark can split a class that very many rows share
+    whole = materialise(member.groupBy("label").agg(first.alias("f"), F.count("*").alias("class_size")), "near-classes")
     return member.join(whole, "label").select("id", "own", F.col("f.id").alias("class_id"), "class_size", "links", (F.col("row") == F.col("f.row")).alias("kept"))
 
 
