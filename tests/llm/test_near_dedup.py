@@ -119,6 +119,24 @@ def test_classes_equal_brute_force(spark):
     assert nd.near_dedup(df.limit(0)).count() == 0 and nd.keep_one(df.limit(0)).count() == 0
 
 
+def test_large_families_equal_brute_force(spark):
+    rnd = random.Random(11)
+    word = lambda: "w" + str(rnd.randint(0, 10**6))
+    data = []
+    for _ in range(12):  # varied texts, mostly under 0.8 to each other and to leaders
+        base = [word() for _ in range(200)]
+        for _ in range(60):
+            words = list(base)
+            for _ in range(rnd.randint(2, 7)):
+                words[rnd.randrange(len(words))] = word()
+            data.append((len(data), " ".join(words)))
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    got = defaultdict(list)
+    for r in nd.near_dedup(df).collect():
+        got[r.class_id].append(r.doc_id)
+    assert sorted(sorted(x) for x in got.values()) == brute(data)
+
+
 def test_sample(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     data = [(r.doc_id, r.text) for r in docs.collect()]

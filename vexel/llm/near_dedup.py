@@ -12,9 +12,9 @@ BANDS bands of ROWS coordinates give buckets; pairs of a bucket are checked exac
 similarity of their shingles. Documents with equal shingles are joined first, so copies are one node. Buckets of
 up to SMALL nodes give all pairs. In larger ones each node meets a leader: in two bands of three the node that shares
 most bucket places with others, which lies in the middle of a family of copies, else one picked by hash. Nodes that did
-not join their leader's class choose a new leader among themselves, round after round, until a round joins nothing. A
-link of a larger bucket is thus found if its ends meet in a leader's class; two nodes that are similar to each other
-and to no leader they meet may stay apart.
+not join their leader's class choose a new leader among themselves, round after round, until a round joins nothing.
+Leaders only make classes grow fast. What larger buckets still hold in different classes is then joined exactly by the
+rarest shingles of each text: two texts of the asked similarity share one of them, so no link between classes is lost.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 from xxhash import xxh64_intdigest, xxh128_digest
 
 from vexel.llm.components import components, rows_of
@@ -36,6 +37,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
 #: Nodes of a bucket up to which all pairs are checked.
 SMALL = 12
+#: Nodes with a rare shingle in common that one task meets with the others at a time.
+BLOCK = 1_000
 #: Texts up to which 8-byte hashes of their names are broadcast (some 50 MB as a hash table).
 BROADCAST_ROWS = 1_000_000
 #: Documents whose darts are thrown together.
@@ -207,6 +210,18 @@ def apart(led: DataFrame, labels: DataFrame) -> DataFrame:
     return led.where(F.coalesce("own", "node") != F.coalesce("theirs", "lead")).select("band", "node", "score")
 
 
+def texts_of(needed: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(node, t) of the needed nodes (node, rep, own)."""
+    needed = materialise(needed, "near-needed")
+    rows = docs.select(F.col(f"`{key}`").alias("id"), _own(text).alias("o"), F.col(f"`{text}`").alias("t"))
+    at = needed.select("node", "rep", "own")
+    if at.count() <= BROADCAST_ROWS:  # texts that aren't needed stay where they are
+        wanted = at.select(F.xxhash64("rep", "own").alias("h")).distinct()
+        rows = rows.join(F.broadcast(wanted), F.xxhash64("id", "o") == F.col("h"), "left_semi")
+    texts = rows.join(at, rows.id.eqNullSafe(at.rep) & (rows.o == at.own)).select("node", "t").dropDuplicates(["node"])
+    return materialise(texts, "near-texts")
+
+
 def check_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str, least: float) -> DataFrame:
     """The pairs (a, b) of nodes whose texts' similarity is least or more, with it.
 
@@ -216,14 +231,7 @@ def check_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, t
     w = nodes.select("node", "weight")
     pairs = pairs.join(w.select(F.col("node").alias("a"), F.col("weight").alias("wa")), "a").join(w.select(F.col("node").alias("b"), F.col("weight").alias("wb")), "b")
     pairs = materialise(pairs.where(F.least("wa", "wb") >= F.greatest("wa", "wb") * F.lit(least - 1e-9)).select("a", "b"), "near-pairs")
-    needed = materialise(nodes.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node", "left_semi"), "near-needed")
-    rows = docs.select(F.col(f"`{key}`").alias("id"), _own(text).alias("o"), F.col(f"`{text}`").alias("t"))
-    at = needed.select("node", "rep", "own")
-    if at.count() <= BROADCAST_ROWS:  # texts that aren't needed stay where they are
-        wanted = at.select(F.xxhash64("rep", "own").alias("h")).distinct()
-        rows = rows.join(F.broadcast(wanted), F.xxhash64("id", "o") == F.col("h"), "left_semi")
-    texts = rows.join(at, rows.id.eqNullSafe(at.rep) & (rows.o == at.own)).select("node", "t").dropDuplicates(["node"])
-    texts = materialise(texts, "near-texts")
+    texts = texts_of(nodes.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node", "left_semi"), docs, key, text)
     met = pairs.join(texts.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,6 +247,49 @@ def check_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, t
     return met.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, similarity double").where(F.col("similarity") >= least)
 
 
+def open_nodes(large: DataFrame, labels: DataFrame) -> DataFrame:
+    """The nodes that share a bucket of large (band, node) with a node of another class."""
+    at = large.select("band", "node").join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
+    mixed = at.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band")
+    return at.join(mixed, "band", "left_semi").select("node").distinct()
+
+
+def rare_pairs(texts: DataFrame, labels: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of texts (node, t) of different classes, among them all whose similarity is least or more.
+
+    The c-th copy of a shingle is an element of its own, so that weighted similarity is that of plain sets. Elements are
+    put in one order, rarest first. A text of n elements shares at least least * n of them with a similar one, so both
+    have one among their first n - least * n + 1. The places of a shared element bound what two texts share at all.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            for node, t in zip(x.column(0).to_pylist(), x.column(1), strict=True):
+                s, c = shingles(t.as_py())
+                nth = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+                with np.errstate(over="ignore"):
+                    e = np.repeat(s, c)
+                    e = np.where(nth > 0, mix(e + GOLDEN * nth.astype(np.uint64)), e)
+                for i in range(0, len(e), TOGETHER * TOGETHER):
+                    part = e[i : i + TOGETHER * TOGETHER].view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), node)), pa.array(np.full(len(part), len(e))), pa.array(part)], ["node", "n", "e"])
+
+    every = materialise(texts.select("node", "t").mapInArrow(run, "node long, n long, e long"), "near-elements")
+    often = every.groupBy("e").agg(F.count("*").alias("often"))
+    order = Window.partitionBy("node").orderBy("often", "e")
+    first = every.join(often, "e").withColumn("at", F.row_number().over(order)).where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * F.lit(least) - F.lit(1e-9)) + 1)
+    first = first.where("often > 1").join(labels, "node", "left").select("e", "node", "n", "at", F.coalesce("label", "node").alias("label"))
+    first = materialise(first, "near-first")
+    met = first.groupBy("e").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    first = first.join(met.select("e", "blocks"), "e")
+    a = first.select("e", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("label").alias("la"))
+    b = first.select("e", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("label").alias("lb"))
+    shared = F.least("pa", "pb") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    enough = shared >= (F.col("na") + F.col("nb")) * F.lit(least / (1 + least) - 1e-9)
+    long = F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(least - 1e-9)
+    return a.join(b, ["e", "block"]).where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & long & enough).select("a", "b").distinct()
+
+
 def classes(docs: DataFrame, least: float = SIMILARITY, key: str = "doc_id", text: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(id, own, class_id, class_size, links, kept) of every row of docs.
 
@@ -270,6 +321,12 @@ def classes(docs: DataFrame, least: float = SIMILARITY, key: str = "doc_id", tex
             break
         tried, links = tried.union(more), links.union(found)
         labels = components(links)
+    rest = open_nodes(large, labels)
+    if not rest.isEmpty():
+        texts = texts_of(light.join(rest, "node", "left_semi"), docs, key, text)
+        more = materialise(rare_pairs(texts, labels, least).join(tried, ["a", "b"], "left_anti"), "near-more")
+        links = links.union(materialise(check_pairs(more, light, docs, key, text, least), "near-links"))
+        labels = components(links)
     degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("links"))
     placed = nodes.select("node", "digest").join(labels, "node", "left").join(degree, "node", "left")
     placed = placed.select("digest", F.coalesce("label", "node").alias("label"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
