@@ -1,0 +1,40 @@
+"""Queries over whole tables that have no SQL, against brute force."""
+
+from collections import defaultdict
+
+import numpy as np
+
+import __spark_entry__ as entry_point
+
+DIR = "/root/testdata/sf0.001"
+
+
+def similarities(spark):
+    rows = spark.read.parquet(f"{DIR}/embeddings.parquet").orderBy("vec_id").collect()
+    e = np.array([r.embedding for r in rows], float)
+    e /= np.linalg.norm(e, axis=1, keepdims=True)
+    return [r.vec_id for r in rows], e @ e.T
+
+
+def nearest(ids, sim, k):
+    sim = sim.copy()
+    np.fill_diagonal(sim, -2)
+    return {(ids[i], ids[j]): sim[i, j] for i in range(len(ids)) for j in np.argsort(-sim[i], kind="stable")[:k]}
+
+
+def same(rows, want):
+    got = {(r.src, r.dst): r.score for r in rows}
+    assert len(got) == len(rows) and got.keys() == want.keys()
+    assert all(abs(got[x] - want[x]) < 2e-6 for x in got)
+
+
+def test_edges_of_all_nodes(spark):
+    ids, sim = similarities(spark)
+    assert max(ids) >= 300
+    want = nearest(ids, sim, 8)
+    same(entry_point.queries()["knn_graph_layer0_edges_all"](spark, DIR).collect(), want)
+    both = defaultdict(dict)
+    for (a, b), s in want.items():
+        both[a][b] = both[b][a] = s
+    cut = {(a, b): s for a, to in both.items() for b, s in sorted(to.items(), key=lambda x: (-x[1], x[0]))[:10]}
+    same(entry_point.queries()["graph_reverse_shrink_all"](spark, DIR).collect(), cut)

@@ -427,6 +427,19 @@ def graph_reverse_shrink(spark, sf_dir):
     return graph.with_reverse(near, 10).select("src", "dst", r6(F.col("sim")))
 
 
+# Over the whole table; in SQL that is quadratic, so tests hold them to brute force.
+
+
+@register("knn_graph_layer0_edges_all")
+def knn_graph_layer0_edges_all(spark, sf_dir):
+    return graph.nearest_edges(base(spark, sf_dir), 8).select("src", "dst", r6(F.col("sim")))
+
+
+@register("graph_reverse_shrink_all")
+def graph_reverse_shrink_all(spark, sf_dir):
+    return graph.with_reverse(graph.nearest_edges(base(spark, sf_dir), 8), 10).select("src", "dst", r6(F.col("sim")))
+
+
 @register("graph_recall_gate", "SELECT true AS passes")
 def graph_recall_gate(spark, sf_dir):
     t = materialise(base(spark, sf_dir), "gate")
