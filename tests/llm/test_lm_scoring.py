@@ -71,6 +71,16 @@ def test_equals_brute_force(spark):
     assert out.count() == len(ROWS) and lm.score_documents(df.limit(0)).count() == 0
 
 
+def test_every_token_is_a_target(spark, monkeypatch):
+    texts = [None, "", "one", "two words", "a b c d e f g", "x " * 200]
+    seen = spark.sparkContext.accumulator(0)
+    monkeypatch.setattr(lm, "_round", lambda w, shards, p, turn: (seen.add(w.agg({"n": "sum"}).first()[0]), p)[1])
+    lm.learn(spark.createDataFrame([(t,) for t in texts], "text string"), rounds=1)
+    assert seen.value == sum(len(lm.tokens_of(t)) for t in texts)
+    w = lm.windows_of(np.array([4, 5, 6]))
+    assert w.tolist() == [[lm.PAD, lm.PAD, 5, 6, 4], [lm.PAD, 4, 6, lm.PAD, 5], [4, 5, lm.PAD, lm.PAD, 6]]
+
+
 def test_learns_word_order(spark):
     rnd = random.Random(1)
     subject, verb, thing = ([f"{k}{i}" for i in range(30)] for k in "svo")

@@ -5,7 +5,7 @@ layer, and a two-level softmax (CLASSES classes of MEMBERS words) gives the toke
 the sum of these conditional log-probabilities over all its tokens. Words outside the vocabulary share buckets by
 their hash.
 
-Word counts come from every document, and so do the training windows (one of STRIDE positions), both gathered by
+Word counts come from every document, and every token of it is a training target in each round; both are gathered by
 shuffles that grow with the corpus. Windows are dealt into shards; each round, every shard trains the current network
 in numpy where it lies, and the shards' networks are averaged by their numbers of windows.
 """
@@ -29,8 +29,8 @@ SIDE = 2
 CLASSES, MEMBERS = 32, 64
 BUCKETS = 256
 DIM, HIDDEN = 16, 32
-STRIDE = 64
-SHARD_WINDOWS = 100_000
+#: Windows of a shard, and those of them that are in memory at a time.
+SHARD_WINDOWS, AT_ONCE = 1_000_000, 2_000_000
 ROUNDS = 2
 BATCH, RATE = 512, 0.05
 #: Words that a partition counts before it hands the counts on, and words whose ids a worker remembers.
@@ -216,46 +216,50 @@ def _word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _windows(texts: DataFrame, ids: Ids) -> DataFrame:
-    """(h, n, w) per document with a window: a hash that deals it out, the number, and the windows as 16-bit ids."""
+def _targets(texts: DataFrame, ids: Ids) -> DataFrame:
+    """(h, n, w) per document with tokens: a hash that deals it out, the number of tokens, and all their ids in 16 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             hs, ns, ws = [], [], []
             for t in b.column(0):
                 text = t.as_py()
-                own = tokens_of(text)
-                h = xxh64_intdigest(text or "")
-                at = range(h % STRIDE, len(own), STRIDE)
-                if at:
-                    places = [*range(-SIDE, 0), *range(1, SIDE + 1), 0]
-                    w = [ids[own[i + k]] if 0 <= i + k < len(own) else PAD for i in at for k in places]
-                    hs.append((h >> 1) ^ len(own))
-                    ns.append(len(at))
-                    ws.append(np.array(w, np.uint16).tobytes())
+                own = ids.of(text)
+                if len(own):
+                    hs.append((xxh64_intdigest(text) >> 1) ^ len(own))
+                    ns.append(len(own))
+                    ws.append(own.astype(np.uint16).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(ns, pa.int64()), pa.array(ws, pa.binary())], ["h", "n", "w"])
 
     return texts.mapInArrow(run, "h long, n long, w binary")
 
 
-def _round(windows: DataFrame, shards: int, p: Params, turn: int) -> Params:
+def windows_of(ids: np.ndarray) -> np.ndarray:
+    """uint16 [token, 2 * SIDE + 1]: the context of every token, then the token."""
+    return np.concatenate([contexts(ids), ids[:, None]], axis=1).astype(np.uint16)
+
+
+def _round(targets: DataFrame, shards: int, p: Params, turn: int) -> Params:
     """Train p on every shard apart, and average."""
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(shard: int, parts: list[bytes]) -> pa.RecordBatch:
-            w = np.frombuffer(b"".join(parts), np.uint16).reshape(-1, 2 * SIDE + 1)
-            return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "n": [len(w)], "p": [pack(train(p, w, turn * 7919 + shard))]})
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "n": [n], "p": [pack(own)]})
 
-        shard, parts = None, []
+        shard, own, n, parts, held = None, p, 0, [], 0
         for b in batches:
-            for s, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if s != shard and parts:
-                    yield done(shard, parts)
-                    parts = []
+            for s, w in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if parts and (s != shard or held >= AT_ONCE):
+                    own, n, parts, held = train(own, np.concatenate(parts), turn * 7919 + shard), n + held, [], 0
+                if s != shard and n:
+                    yield done()
+                    own, n = p, 0
                 shard = s
-                parts.append(w)
+                parts.append(windows_of(np.frombuffer(w.as_py(), np.uint16).astype(np.int64)))
+                held += len(parts[-1])
         if parts:
-            yield done(shard, parts)
+            own, n = train(own, np.concatenate(parts), turn * 7919 + shard), n + held
+            yield done()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = None, 0
@@ -266,7 +270,7 @@ def _round(windows: DataFrame, shards: int, p: Params, turn: int) -> Params:
         if total is not None:
             yield pa.RecordBatch.from_pydict({"n": [n], "p": [total.tobytes()]})
 
-    dealt = windows.select(F.pmod("h", F.lit(shards)).cast("int").alias("shard"), "h", "w").repartition(shards, "shard").sortWithinPartitions("shard", "h", "w")
+    dealt = targets.select(F.pmod("h", F.lit(shards)).cast("int").alias("shard"), "h", "w").repartition(shards, "shard").sortWithinPartitions("shard", "h", "w")
     trained = dealt.select("shard", "w").mapInArrow(one, "shard int, n long, p binary")
     sums = trained.repartition(8, F.pmod("shard", F.lit(8))).sortWithinPartitions("shard").select("n", "p").mapInArrow(add, "n long, p binary").collect()
     sums = sorted((r.n, bytes(r.p)) for r in sums)
@@ -287,10 +291,10 @@ def learn(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> tuple[Id
     frequency[: len(top)] = [r.n for r in top]
     frequency[-BUCKETS:] = rest / BUCKETS
     p = fresh(frequency)
-    windows = materialise(_windows(texts, ids), "lm-windows")
-    n = windows.agg(F.sum("n")).first()[0] or 0
+    targets = materialise(_targets(texts, ids), "lm-targets")
+    n = targets.agg(F.sum("n")).first()[0] or 0
     for turn in range(rounds if n else 0):
-        p = _round(windows, math.ceil(n / SHARD_WINDOWS), p, turn)
+        p = _round(targets, math.ceil(n / SHARD_WINDOWS), p, turn)
     return ids, p
 
 
