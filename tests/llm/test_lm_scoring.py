@@ -81,6 +81,20 @@ def test_every_token_is_a_target(spark, monkeypatch):
     assert w.tolist() == [[lm.PAD, lm.PAD, 5, 6, 4], [lm.PAD, 4, 6, lm.PAD, 5], [4, 5, lm.PAD, lm.PAD, 6]]
 
 
+def test_rare_words_have_their_share(spark):
+    ids = lm.Ids(["the", "cat", ",", "dog"])
+    first, *others = [w for w in map("w{}".format, range(5000)) if ids[w] == ids["w0"]]
+    counts = spark.createDataFrame([("the", 50), (first, 6), (others[0], 2)], "word string, n long")
+    texts = [f"the {first} cat", f"the {others[0]} cat", f"the {others[1]} cat", "the cat", f"{first} {first} {others[0]}", None]
+    df = spark.createDataFrame([(7, t) for t in texts], "doc_id long, text string").coalesce(1)
+    p = network()
+    order = lambda rows: [(r.n_tokens, r.log_likelihood) for r in rows]
+    part = {first: 6 / 9, others[0]: 2 / 9, others[1]: 1 / 9}
+    want = sorted((len(x := ids.of(t)), brute(p, x.tolist()) + sum(np.log(part.get(w, 1)) for w in lm.tokens_of(t))) for t in texts)
+    got = sorted(order(lm.score(df, ids, p, counts=counts).collect()))
+    assert [n for n, _ in got] == [n for n, _ in want] and np.allclose([x for _, x in got], [x for _, x in want], atol=1e-3)
+
+
 def test_learns_word_order(spark):
     rnd = random.Random(1)
     subject, verb, thing = ([f"{k}{i}" for i in range(30)] for k in "svo")

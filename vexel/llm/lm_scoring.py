@@ -3,7 +3,8 @@
 Every token is predicted from the SIDE tokens on its left and the SIDE on its right: their embeddings feed one tanh
 layer, and a two-level softmax (CLASSES classes of MEMBERS words) gives the token's probability. A document's score is
 the sum of these conditional log-probabilities over all its tokens. Words outside the vocabulary share buckets by
-their hash.
+their hash; the network gives the bucket's probability, and the word's share of the bucket's count in the whole corpus
+makes it the word's.
 
 Word counts come from every document, and every token of it is a training target in each round; both are gathered by
 shuffles that grow with the corpus. Windows are dealt into shards; each round, every shard trains the current network
@@ -44,6 +45,8 @@ PAD = VOCABULARY
 
 Params = dict[str, np.ndarray]
 
+OTHER = pa.list_(pa.struct([("word", pa.string()), ("bucket", pa.int32()), ("times", pa.int64())]))
+
 
 def tokens_of(text: str | None) -> list[str]:
     return TOKEN.findall((text or "").lower())
@@ -280,7 +283,11 @@ def _round(targets: DataFrame, shards: int, p: Params, turn: int) -> Params:
 
 
 def learn(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> tuple[Ids, Params]:
-    """A vocabulary and a network from all documents. The driver gets VOCABULARY words, and eight sums of the
+    return learn_counts(docs, text, rounds)[:2]
+
+
+def learn_counts(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> tuple[Ids, Params, DataFrame]:
+    """A vocabulary and a network from all documents, and the counts (word, n) of all words. The driver gets VOCABULARY words, and eight sums of the
     network's size a round."""
     texts = docs.select(F.col(f"`{text}`").alias("t"))
     counts = materialise(_word_counts(texts), "lm-counts")
@@ -295,18 +302,41 @@ def learn(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> tuple[Id
     n = targets.agg(F.sum("n")).first()[0] or 0
     for turn in range(rounds if n else 0):
         p = _round(targets, math.ceil(n / SHARD_WINDOWS), p, turn)
-    return ids, p
+    return ids, p, counts
+
+
+def shares(counts: DataFrame, ids: Ids) -> tuple[DataFrame, list[float]]:
+    """(word, share) of the words outside the vocabulary, share being the log of a word's part of its bucket, and that
+    of an unseen word in each bucket; unseen words count as one."""
+    known = set(ids.words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = b.column(0).to_pylist()
+            rest = [i for i, w in enumerate(words) if w not in known]
+            own = [xxh64_intdigest(words[i]) % BUCKETS for i in rest]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rest, pa.int64())), b.column(1).take(pa.array(rest, pa.int64())), pa.array(own, pa.int32())], ["word", "n", "bucket"])
+
+    other = materialise(counts.select("word", "n").mapInArrow(run, "word string, n long, bucket int"), "lm-other")
+    total = dict(other.groupBy("bucket").agg(F.sum("n")).collect())
+    floors = [-math.log(total.get(k, 0) + 1) for k in range(BUCKETS)]
+    return other.select("word", (F.log("n") + F.element_at(F.array(*[F.lit(x) for x in floors]), F.col("bucket") + 1)).alias("share")), floors
 
 
-def score(docs: DataFrame, ids: Ids, p: Params, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_tokens, log_likelihood (of all tokens) and mean_log_prob per row of docs."""
+def score(docs: DataFrame, ids: Ids, p: Params, key: str = "doc_id", text: str = "text", counts: DataFrame | None = None) -> DataFrame:
+    """key, n_tokens, log_likelihood (of all tokens) and mean_log_prob per row of docs. Without counts (word, n), a word
+    outside the vocabulary has its bucket's probability."""
+    apart = counts is not None
     shared = docs.sparkSession.sparkContext.broadcast(pack(p))  # of the network's fixed size
     like = {k: np.empty(v.shape, np.float32) for k, v in p.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = prepared(unpack(shared.value, like))
         for b in batches:
-            rows = [ids.of(t.as_py()) for t in b.column(1)]
+            texts = [t.as_py() for t in b.column(1)]
+            rows = [ids.of(t) for t in texts]
+            others = [list(Counter((w, i - VOCABULARY + BUCKETS) for w, i in zip(tokens_of(t), r.tolist(), strict=True) if i >= VOCABULARY - BUCKETS).items()) if apart else [] for t, r in zip(texts, rows, strict=True)]
+            other = pa.array([[{"word": w, "bucket": k, "times": n} for (w, k), n in o] for o in others], OTHER)
             sizes = np.array([len(r) for r in rows], np.int64)
             sums = np.zeros(len(rows))
             first = 0
@@ -322,10 +352,17 @@ def score(docs: DataFrame, ids: Ids, p: Params, key: str = "doc_id", text: str =
                 if found:
                     sums[first:last] = np.bincount(owner, np.concatenate(found), last - first)
                 first = last
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), pa.array(sums)], ["k", "n_tokens", "log_likelihood"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), pa.array(sums), other], ["k", "n_tokens", "log_likelihood", "other"])
 
     kind = docs.schema[key].dataType.simpleString()
-    out = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).mapInArrow(run, f"k {kind}, n_tokens long, log_likelihood double")
+    out = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).mapInArrow(run, f"k {kind}, n_tokens long, log_likelihood double, other array<struct<word: string, bucket: int, times: long>>")
+    if apart:
+        out = materialise(out.withColumn("row", F.monotonically_increasing_id()), "lm-scored")
+        share, floors = shares(counts, ids)
+        floor = F.element_at(F.array(*[F.lit(x) for x in floors]), F.col("bucket") + 1)
+        met = out.select("row", F.inline("other")).join(share, "word", "left")
+        more = met.groupBy("row").agg(F.sum(F.col("times") * F.coalesce("share", floor)).alias("more"))
+        out = out.join(more, "row", "left").withColumn("log_likelihood", F.col("log_likelihood") + F.coalesce("more", F.lit(0.0)))
     mean = F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens"))
     return out.select(F.col("k").alias(key), "n_tokens", "log_likelihood", mean.alias("mean_log_prob"))
 
@@ -337,5 +374,5 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     others. Whole texts of any length are scored, a part at a time. Empty table: no rows. Columns other than key and
     text are not read.
     """
-    ids, p = learn(docs, text)
-    return score(docs, ids, p, key, text)
+    ids, p, counts = learn_counts(docs, text)
+    return score(docs, ids, p, key, text, counts)
