@@ -38,3 +38,28 @@ def test_edges_of_all_nodes(spark):
         both[a][b] = both[b][a] = s
     cut = {(a, b): s for a, to in both.items() for b, s in sorted(to.items(), key=lambda x: (-x[1], x[0]))[:10]}
     same(entry_point.queries()["graph_reverse_shrink_all"](spark, DIR).collect(), cut)
+
+
+def test_joins_take_the_whole_query_set(spark):
+    rows = spark.read.parquet(f"{DIR}/embeddings.parquet").orderBy("vec_id").collect()
+    e = np.array([r.embedding for r in rows], float)
+    unit = e / np.linalg.norm(e, axis=1, keepdims=True)
+    ids = np.array([r.vec_id for r in rows])
+    asked = np.flatnonzero(ids % 100 == 0)
+    assert ids[asked].max() >= 100
+    cosine, l2 = unit[asked] @ unit.T, -((e[asked][:, None] - e[None]) ** 2).sum(axis=2)
+    keep = np.isin(ids % 5, (0, 1)) & (2018 + ids % 7 >= 2020)
+
+    def top(scores, k, allowed=None):
+        allowed = np.ones(len(ids), bool) if allowed is None else allowed
+        return {(int(ids[q]), rank + 1): int(ids[i]) for row, q in zip(scores, asked, strict=True) for rank, i in enumerate(np.lexsort((ids, np.where(allowed, -row, np.inf)))[:k])}
+
+    exact = top(cosine, 10)
+    wanted = {"knn_join_hof_all": exact, "knn_join_gemm_all": exact, "ivf_knn_join_full_probe_all": exact, "knn_join_l2_all": top(l2, 5), "knn_join_filtered_all": top(cosine, 5, keep)}
+    for name, want in wanted.items():
+        got = entry_point.queries()[name](spark, DIR).collect()
+        assert {(r.qid, r.rank): r.id for r in got} == want and len(got) == len(want), name
+    part = top(cosine, 10, ids % 4 != 1)
+    recalls = {r.qid: r.recall for r in entry_point.queries()["recall_at_k_all"](spark, DIR).collect()}
+    of = lambda hits, q: {i for (x, _), i in hits.items() if x == q}
+    assert recalls == {int(q): len(of(exact, q) & of(part, q)) / 10 for q in ids[asked]}
