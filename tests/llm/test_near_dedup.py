@@ -144,3 +144,8 @@ def test_sample(spark):
     for r in nd.near_dedup(docs).collect():
         got[r.class_id].append(r.doc_id)
     assert sorted(sorted(x) for x in got.values()) == brute(data)
+
+
+def test_no_partial_count_of_links(spark):
+    df = spark.createDataFrame([(1, "one two three four five six")], "doc_id long, text string")
+    assert nd.near_dedup(df).columns == ["doc_id", "class_id", "class_size", "kept"]

@@ -291,10 +291,9 @@ def rare_pairs(texts: DataFrame, labels: DataFrame, least: float) -> DataFrame:
 
 
 def classes(docs: DataFrame, least: float = SIMILARITY, key: str = "doc_id", text: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(id, own, class_id, class_size, links, kept) of every row of docs.
+    """(id, own, class_id, class_size, kept) of every row of docs.
 
-    links is the number of checked links between different texts that a row's text has; kept marks one row of each
-    class, that with the smallest key.
+    kept marks one row of each class, that with the smallest key.
     """
     signed = materialise(sign(docs, key, text, bands, rows).withColumn("row", F.monotonically_increasing_id()), "near-signed")
     some = signed.where("digest is not null")
@@ -327,27 +326,25 @@ def classes(docs: DataFrame, least: float = SIMILARITY, key: str = "doc_id", tex
         more = materialise(rare_pairs(texts, labels, least).join(tried, ["a", "b"], "left_anti"), "near-more")
         links = links.union(materialise(check_pairs(more, light, docs, key, text, least), "near-links"))
         labels = components(links)
-    degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("links"))
-    placed = nodes.select("node", "digest").join(labels, "node", "left").join(degree, "node", "left")
-    placed = placed.select("digest", F.coalesce("label", "node").alias("label"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    placed = nodes.select("node", "digest").join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("label"))
     member = signed.select("id", "own", "row", "digest").join(placed, "digest", "left")
     # a text without words is a class of its own
-    member = materialise(member.select("id", "own", "row", F.coalesce("label", -1 - F.col("row")).alias("label"), F.coalesce("links", F.lit(0)).cast("long").alias("links")), "near-member")
+    member = materialise(member.select("id", "own", "row", F.coalesce("label", -1 - F.col("row")).alias("label")), "near-member")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
     # written, so that the join is with a plain table and Spark can split a class that very many rows share
     whole = materialise(member.groupBy("label").agg(first.alias("f"), F.count("*").alias("class_size")), "near-classes")
-    return member.join(whole, "label").select("id", "own", F.col("f.id").alias("class_id"), "class_size", "links", (F.col("row") == F.col("f.row")).alias("kept"))
+    return member.join(whole, "label").select("id", "own", F.col("f.id").alias("class_id"), "class_size", (F.col("row") == F.col("f.row")).alias("kept"))
 
 
 def near_dedup(docs: DataFrame, least: float = SIMILARITY, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of docs: key, class_id, class_size, links, kept.
+    """One row per row of docs: key, class_id, class_size, kept.
 
     class_id is the smallest key of the class (null keys last). Equal texts are in one class. A text of fewer than
     five words is one shingle; null and empty texts and those without words are classes of their own. Repeated rows
     are members like others, and one stays. Texts are read whole. Empty table: no rows. Columns other than key and
     text are not read.
     """
-    return classes(docs, least, key, text).select(F.col("id").alias(key), "class_id", "class_size", "links", "kept")
+    return classes(docs, least, key, text).select(F.col("id").alias(key), "class_id", "class_size", "kept")
 
 
 def keep_one(docs: DataFrame, least: float = SIMILARITY, key: str = "doc_id", text: str = "text") -> DataFrame:
