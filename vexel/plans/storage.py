@@ -6,11 +6,17 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 _made: set[str] = set()
+_tables: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes that one batch for Python has (a single longer row is a batch).
+BYTES_AT_ONCE = 8 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -52,7 +58,25 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark, path = df.sparkSession, shared_path(df.sparkSession, name)
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    table = spark.read.schema(schema).parquet(path)
+    _tables[table] = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that materialise has written and nothing reads any more."""
+    for t in tables:
+        path = _tables.pop(t, None)
+        if path is not None:
+            spark = t.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the bytes that are handed to Python at a time, unless the session sets that itself."""
+    if not spark.conf._jconf.contains(BATCH_BYTES):
+        spark.conf.set(BATCH_BYTES, str(BYTES_AT_ONCE))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
