@@ -149,3 +149,41 @@ def test_sample(spark):
 def test_no_partial_count_of_links(spark):
     df = spark.createDataFrame([(1, "one two three four five six")], "doc_id long, text string")
     assert nd.near_dedup(df).columns == ["doc_id", "class_id", "class_size", "kept"]
+
+
+def test_one_family_loses_no_link(spark):
+    """400 texts of 200 words with 1 to 6 words of one base replaced: many are under 0.8 to most of the family."""
+    rnd = random.Random(5)
+    word = lambda: "w" + str(rnd.randint(0, 10**7))
+    base = [word() for _ in range(200)]
+    data = []
+    for i in range(400):
+        words = list(base)
+        for at in rnd.sample(range(200), rnd.randint(1, 6)):
+            words[at] = word()
+        data.append((i, " ".join(words)))
+    got = defaultdict(list)
+    for r in nd.near_dedup(spark.createDataFrame(data, "doc_id long, text string").repartition(4)).collect():
+        got[r.class_id].append(r.doc_id)
+    want = brute(data)
+    assert len(want) > 50 and sorted(sorted(x) for x in got.values()) == want
+
+
+def test_tiles_of_any_size_give_the_same(spark, monkeypatch):
+    """A bucket that is cut into many tiles joins the same classes as one in a single tile."""
+    rnd = np.random.default_rng(2)
+    sets = [np.unique(np.concatenate([np.arange(40, dtype=np.uint64), rnd.integers(100, 10**6, rnd.integers(2, 14)).astype(np.uint64)])) for _ in range(90)]
+    buckets = spark.createDataFrame([(1, i, len(s), 90) for i, s in enumerate(sets)], "band long, node long, weight long, m long")
+    labels = spark.createDataFrame([(i, 0) for i in range(60)], "node long, label long")
+    table = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sets)], "node long, e binary")
+
+    def joined():
+        got = components(nd.tile_links(nd.open_tiles(buckets, labels), table, 0.8)).collect()
+        return sorted(r.node for r in got)
+
+    label = np.array([0] * 60 + list(range(60, 90)))
+    want = {v for i, j in itertools.combinations(range(90), 2) if label[i] != label[j] and len(b := np.intersect1d(sets[i], sets[j])) / (len(sets[i]) + len(sets[j]) - len(b)) >= 0.8 for v in (label[i], label[j])}
+    assert 5 < len(want) < 31
+    for size in (256, 7, 1):
+        monkeypatch.setattr(nd, "TILE", size)
+        assert joined() == sorted(want)

@@ -8,13 +8,12 @@ signature's value there. Two documents agree in a coordinate with the probabilit
 similarity. The rank limit is about (ln K + 3) / total weight, so that some K ln K darts serve a document of any
 length (Christiani 2020), and is raised for the few documents with a coordinate left empty.
 
-BANDS bands of ROWS coordinates give buckets; pairs of a bucket are checked exactly by the weighted Jaccard
-similarity of their shingles. Documents with equal shingles are joined first, so copies are one node. Buckets of
-up to SMALL nodes give all pairs. In larger ones each node meets a leader: in two bands of three the node that shares
-most bucket places with others, which lies in the middle of a family of copies, else one picked by hash. Nodes that did
-not join their leader's class choose a new leader among themselves, round after round, until a round joins nothing.
-Leaders only make classes grow fast. What larger buckets still hold in different classes is then joined exactly by the
-rarest shingles of each text: two texts of the asked similarity share one of them, so no link between classes is lost.
+BANDS bands of ROWS coordinates give buckets. Documents with equal shingles are joined first, so copies are one node.
+Each node then meets one leader in each of its buckets, the node that shares most bucket places with others; pairs are
+checked exactly by the weighted Jaccard similarity of their shingles, and the similar ones make classes. What a bucket
+still holds in different classes meets exactly: the bucket is cut into tiles of two chunks of nodes, a tile's
+similarities come from one matrix product over all its shingles, and each tile gives the links that join its classes.
+No pair of a bucket in different classes is left out, and no task holds a bucket.
 """
 
 from __future__ import annotations
@@ -26,19 +25,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 from xxhash import xxh64_intdigest, xxh128_digest
 
 from vexel.llm.components import components, rows_of
-from vexel.plans.storage import materialise
+from vexel.plans.storage import bounded_batches, discard, materialise
 
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
-#: Nodes of a bucket up to which all pairs are checked.
-SMALL = 12
-#: Nodes with a rare shingle in common that one task meets with the others at a time.
-BLOCK = 1_000
+#: Nodes and elements of a chunk of a large bucket (on average), and columns of a tile's matrix at a time.
+TILE, TILE_ELEMENTS, WIDE = 256, 1 << 19, 1 << 12
 #: Texts up to which 8-byte hashes of their names are broadcast (some 50 MB as a hash table).
 BROADCAST_ROWS = 1_000_000
 #: Documents whose darts are thrown together.
@@ -49,8 +45,6 @@ MEMO = 100_000
 WORD = re.compile(r"\w+")
 # The increment and multipliers of the splitmix64 generator.
 GOLDEN, MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-#: Orders the nodes of a bucket where its leader is picked by hash.
-MASK = 0x5851F42D4C957F2D
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -184,110 +178,157 @@ def sign(docs: DataFrame, key: str = "doc_id", text: str = "text", bands: int =
     return texts.mapInArrow(run, f"id {kind}, own string, digest binary, weight long, bands array<long>")
 
 
-def _ordered(a: Column, b: Column) -> list[Column]:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+def texts_of(needed: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(node, t) of the needed nodes (node, rep, own)."""
+    rows = docs.select(F.col(f"`{key}`").alias("id"), _own(text).alias("o"), F.col(f"`{text}`").alias("t"))
+    if needed.count() <= BROADCAST_ROWS:  # texts that aren't needed stay where they are
+        wanted = needed.select(F.xxhash64("rep", "own").alias("h")).distinct()
+        rows = rows.join(F.broadcast(wanted), F.xxhash64("id", "o") == F.col("h"), "left_semi")
+    return rows.join(needed, rows.id.eqNullSafe(needed.rep) & (rows.o == needed.own)).select("node", "t")
 
 
-def small_pairs(buckets: DataFrame) -> DataFrame:
-    """All pairs (a, b) of the buckets (band, node, m) of up to SMALL nodes."""
-    small = buckets.where(F.col("m") <= SMALL)
-    other = small.select("band", F.col("node").alias("other"))
-    return small.join(other, "band").where("node < other").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
+def elements(s: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """A weighted set as a plain one, ascending: the c-th copy of a shingle is an element of its own, so the weighted
+    similarity of two texts is that of their elements."""
+    e, c = s
+    if len(e) == c.sum():
+        return e
+    nth = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+    with np.errstate(over="ignore"):
+        e = np.repeat(e, c)
+        return np.sort(np.where(nth > 0, mix(e + GOLDEN * nth.astype(np.uint64)), e))
 
 
-def with_leaders(front: DataFrame) -> DataFrame:
-    """front (band, node, score) with each band's leader."""
-    picked = F.min(F.col("node").bitwiseXOR(F.lit(MASK))).bitwiseXOR(F.lit(MASK))
-    middle = F.max(F.struct("score", "node"))["node"]
-    leads = front.groupBy("band").agg(picked.alias("picked"), middle.alias("middle"), F.count("*").alias("n")).where("n > 1")
-    return front.join(leads, "band").select("band", "node", "score", F.when(F.pmod("band", F.lit(3)) == 2, F.col("picked")).otherwise(F.col("middle")).alias("lead"))
+def elements_of(texts: DataFrame) -> DataFrame:
+    """(node, e) of texts (node, t): the bytes of their elements. Rows that repeat a node give it once."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([elements(shingles(t.as_py())).tobytes() for t in b.column(1)], pa.binary())], ["node", "e"])
 
-def apart(led: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of led (band, node, score, lead) whose class isn't their leader's."""
-    own = labels.select("node", F.col("label").alias("own"))
-    led = led.join(own, "node", "left").join(labels.select(F.col("node").alias("lead"), F.col("label").alias("theirs")), "lead", "left")
-    return led.where(F.coalesce("own", "node") != F.coalesce("theirs", "lead")).select("band", "node", "score")
+    return texts.mapInArrow(run, "node long, e binary").dropDuplicates(["node"])
 
 
-def texts_of(needed: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(node, t) of the needed nodes (node, rep, own)."""
-    needed = materialise(needed, "near-needed")
-    rows = docs.select(F.col(f"`{key}`").alias("id"), _own(text).alias("o"), F.col(f"`{text}`").alias("t"))
-    at = needed.select("node", "rep", "own")
-    if at.count() <= BROADCAST_ROWS:  # texts that aren't needed stay where they are
-        wanted = at.select(F.xxhash64("rep", "own").alias("h")).distinct()
-        rows = rows.join(F.broadcast(wanted), F.xxhash64("id", "o") == F.col("h"), "left_semi")
-    texts = rows.join(at, rows.id.eqNullSafe(at.rep) & (rows.o == at.own)).select("node", "t").dropDuplicates(["node"])
-    return materialise(texts, "near-texts")
+def star_pairs(buckets: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b): every node of a bucket (band, node, weight, m) with the node there that shares most bucket places
+    with others and so lies in the middle of a family. Pairs that their weights alone rule out are left out."""
+    score = buckets.groupBy("node").agg(F.sum("m").alias("score"))
+    lead = buckets.join(score, "node").groupBy("band").agg(F.max(F.struct("score", "node", "weight")).alias("lead"))
+    met = buckets.join(lead, "band").where((F.col("node") != F.col("lead.node")) & (F.least("weight", "lead.weight") >= F.greatest("weight", "lead.weight") * F.lit(least - 1e-9)))
+    return met.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
 
 
-def check_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str, least: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts' similarity is least or more, with it.
+def _rows(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), np.uint64) for x in column]
 
-    nodes has node, rep, own and weight. Pairs whose total weights alone rule that out are not read; the texts of
-    the rest meet by two joins, and rows come sorted by b, so a leader's shingles are made once for its run of pairs.
-    """
-    w = nodes.select("node", "weight")
-    pairs = pairs.join(w.select(F.col("node").alias("a"), F.col("weight").alias("wa")), "a").join(w.select(F.col("node").alias("b"), F.col("weight").alias("wb")), "b")
-    pairs = materialise(pairs.where(F.least("wa", "wb") >= F.greatest("wa", "wb") * F.lit(least - 1e-9)).select("a", "b"), "near-pairs")
-    texts = texts_of(nodes.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node", "left_semi"), docs, key, text)
-    met = pairs.join(texts.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b")
+
+def check_pairs(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose similarity is least or more, with it; sets has node and e."""
+    met = pairs.join(sets.select(F.col("node").alias("a"), F.col("e").alias("ea")), "a").join(sets.select(F.col("node").alias("b"), F.col("e").alias("eb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own = None, None
         for x in batches:
             got = []
-            for b, ta, tb in zip(x.column(1).to_pylist(), x.column(2), x.column(3), strict=True):
-                if b != last:
-                    last, own = b, shingles(tb.as_py())
-                got.append(similarity(shingles(ta.as_py()), own))
+            for a, b in zip(_rows(x.column(2)), _rows(x.column(3)), strict=True):
+                at = np.searchsorted(b, a)
+                both = int((b[np.minimum(at, len(b) - 1)] == a).sum())
+                got.append(both / (len(a) + len(b) - both))
             yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(got, pa.float64())], ["a", "b", "similarity"])
 
-    return met.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, similarity double").where(F.col("similarity") >= least)
+    return met.select("a", "b", "ea", "eb").mapInArrow(run, "a long, b long, similarity double").where(F.col("similarity") >= least)
 
 
-def open_nodes(large: DataFrame, labels: DataFrame) -> DataFrame:
-    """The nodes that share a bucket of large (band, node) with a node of another class."""
-    at = large.select("band", "node").join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
-    mixed = at.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band")
-    return at.join(mixed, "band", "left_semi").select("node").distinct()
+def open_tiles(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """(band, i, j, left, node, label): where the nodes of buckets with more than one class meet those of other classes.
 
+    A bucket's largest class and the rest of it are dealt into chunks. A tile holds two chunks of the rest, or one of the
+    rest (left) and one of the largest class; a bucket of any size is so many tiles and no task needs all of it.
+    """
+    at = buckets.join(labels, "node", "left").select("band", "node", "weight", F.coalesce("label", "node").alias("label"))
+    by_class = at.groupBy("band", "label").agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
+    about = by_class.groupBy("band").agg(F.max(F.struct("n", "label")).alias("big"), F.sum("n").alias("m"), F.sum("w").alias("w"), F.count("*").alias("classes"))
+    about = about.where("classes > 1 and m > 2")  # pairs have met their leader
+
+    def chunks(n: Column) -> Column:
+        return F.ceil(F.greatest(n / TILE, F.col("w") * n / F.col("m") / TILE_ELEMENTS)).cast("int")
+
+    about = about.select("band", F.col("big.label").alias("most"), chunks(F.col("big.n")).alias("cb"), chunks(F.col("m") - F.col("big.n")).alias("cs"))
+    met = at.join(about, "band")
+    rest = F.col("label") != F.col("most")
+    met = met.withColumn("chunk", F.pmod(F.xxhash64("node"), F.when(rest, F.col("cs")).otherwise(F.col("cb"))).cast("int"))
+
+    def tile(i: Column, j: Column, left: Column) -> Column:
+        return F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), left.alias("left"))
+
+    own, every = F.col("chunk"), F.sequence(F.lit(0), F.col("cs") - 1)
+    with_rest = F.transform(every, lambda k: tile(F.least(own, k), F.greatest(own, k), own <= k))
+    with_most = F.transform(F.sequence(F.col("cs"), F.col("cs") + F.col("cb") - 1), lambda j: tile(own, j, F.lit(True)))
+    of_most = F.transform(every, lambda i: tile(i, F.col("cs") + own, F.lit(False)))
+    return met.select("band", "node", "label", F.inline(F.when(rest, F.concat(with_rest, with_most)).otherwise(of_most))).select("band", "i", "j", "left", "node", "label")
+
+
+def linked(sets: list[np.ndarray], label: np.ndarray, left: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Pairs of labels that join all the classes with a pair of similarity least or more between left and right rows, or
+    among all if all are left."""
+    size = np.array([len(x) for x in sets])
+    a, b = np.flatnonzero(left), np.flatnonzero(~left)
+    b = b if len(b) else a
+    if not len(a):
+        return []
+    _, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row, place = np.repeat(np.arange(len(sets)), size), np.cumsum(often > 1) - 1
+    row, column = row[often[column] > 1], place[column[often[column] > 1]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(a), len(b)), np.float32)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, WIDE):
+        first, end = np.searchsorted(column, [at, at + WIDE])
+        m = np.zeros((len(sets), WIDE), np.float32)
+        m[row[first:end], column[first:end] - at] = 1
+        both += m[a] @ m[b].T
+    both = both.astype(np.float64)
+    hit = (both / (size[a][:, None] + size[b][None, :] - both) >= least) & (label[a][:, None] != label[b][None, :])
+    x, y = np.nonzero(hit)
+    parent: dict[int, int] = {}
+
+    def find(v: int) -> int:
+        while (p := parent.get(v, v)) != v:
+            parent[v] = parent.get(p, p)
+            v = p
+        return v
+
+    out = []
+    for u, v in np.unique(np.stack([label[a][x], label[b][y]], axis=1), axis=0).tolist():
+        if (r := find(u)) != (s := find(v)):
+            parent[max(r, s)] = min(r, s)
+            out.append((u, v))
+    return out
 
-def rare_pairs(texts: DataFrame, labels: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of texts (node, t) of different classes, among them all whose similarity is least or more.
 
-    The c-th copy of a shingle is an element of its own, so that weighted similarity is that of plain sets. Elements are
-    put in one order, rarest first. A text of n elements shares at least least * n of them with a similar one, so both
-    have one among their first n - least * n + 1. The places of a shared element bound what two texts share at all.
-    """
+def tile_links(tiles: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(a, b): labels of classes that have a similar pair in a tile. A task holds one tile at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held, label, left = None, [], [], []
+
+        def done() -> pa.RecordBatch:
+            got = linked(held, np.array(label, np.int64), np.array(left, bool), least)
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in got], pa.int64()) for k in range(2)], ["a", "b"])
+
         for x in batches:
-            for node, t in zip(x.column(0).to_pylist(), x.column(1), strict=True):
-                s, c = shingles(t.as_py())
-                nth = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
-                with np.errstate(over="ignore"):
-                    e = np.repeat(s, c)
-                    e = np.where(nth > 0, mix(e + GOLDEN * nth.astype(np.uint64)), e)
-                for i in range(0, len(e), TOGETHER * TOGETHER):
-                    part = e[i : i + TOGETHER * TOGETHER].view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), node)), pa.array(np.full(len(part), len(e))), pa.array(part)], ["node", "n", "e"])
-
-    every = materialise(texts.select("node", "t").mapInArrow(run, "node long, n long, e long"), "near-elements")
-    often = every.groupBy("e").agg(F.count("*").alias("often"))
-    order = Window.partitionBy("node").orderBy("often", "e")
-    first = every.join(often, "e").withColumn("at", F.row_number().over(order)).where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * F.lit(least) - F.lit(1e-9)) + 1)
-    first = first.where("often > 1").join(labels, "node", "left").select("e", "node", "n", "at", F.coalesce("label", "node").alias("label"))
-    first = materialise(first, "near-first")
-    met = first.groupBy("e").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    first = first.join(met.select("e", "blocks"), "e")
-    a = first.select("e", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("label").alias("la"))
-    b = first.select("e", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("label").alias("lb"))
-    shared = F.least("pa", "pb") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-    enough = shared >= (F.col("na") + F.col("nb")) * F.lit(least / (1 + least) - 1e-9)
-    long = F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(least - 1e-9)
-    return a.join(b, ["e", "block"]).where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & long & enough).select("a", "b").distinct()
+            for t, own, lb, e in zip(zip(*(x.column(k).to_pylist() for k in range(3)), strict=True), x.column(3).to_pylist(), x.column(4).to_pylist(), x.column(5), strict=True):
+                if t != last:
+                    if held:
+                        yield done()
+                    last, held, label, left = t, [], [], []
+                held.append(np.frombuffer(e.as_py(), np.uint64))
+                label.append(lb)
+                left.append(own)
+        if held:
+            yield done()
+
+    met = tiles.join(sets, "node").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    return met.select("band", "i", "j", "left", "label", "e").mapInArrow(run, "a long, b long")
 
 
 def classes(docs: DataFrame, least: float = SIMILARITY, key: str = "doc_id", text: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -295,44 +336,29 @@ def classes(docs: DataFrame, least: float = SIMILARITY, key: str = "doc_id", tex
 
     kept marks one row of each class, that with the smallest key.
     """
+    bounded_batches(docs.sparkSession)
     signed = materialise(sign(docs, key, text, bands, rows).withColumn("row", F.monotonically_increasing_id()), "near-signed")
     some = signed.where("digest is not null")
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "own"))
     groups = some.groupBy("digest").agg(best.alias("r"), F.first("weight").alias("weight"), F.first("bands").alias("bands"))
     nodes = materialise(groups.select("digest", F.col("r.id").alias("rep"), F.col("r.own").alias("own"), "weight", "bands").withColumn("node", F.monotonically_increasing_id()), "near-nodes")
-    spread = nodes.select("node", F.explode("bands").alias("band"))
+    spread = nodes.select("node", "weight", F.explode("bands").alias("band"))
     shared = spread.groupBy("band").agg(F.count("*").alias("m")).where("m > 1")
-    buckets = materialise(spread.join(shared, "band").select("band", "node", "m"), "near-buckets")
-    light = nodes.select("node", "rep", "own", "weight")
-    large = buckets.where(F.col("m") > SMALL)
-    scores = large.groupBy("node").agg(F.sum("m").alias("score"))
-    led = materialise(with_leaders(large.join(scores, "node").select("band", "node", "score")), "near-led")
-    starred = led.where("node <> lead").select(*_ordered(F.col("node"), F.col("lead"))).distinct()
-    tried = materialise(small_pairs(buckets).union(starred).distinct(), "near-tried")
-    links = materialise(check_pairs(tried, light, docs, key, text, least), "near-links")
-    labels = components(links)
-    while not led.isEmpty():
-        led = materialise(with_leaders(apart(led, labels)), "near-led")
-        more = led.where("node <> lead").select(*_ordered(F.col("node"), F.col("lead"))).distinct().join(tried, ["a", "b"], "left_anti")
-        more = materialise(more, "near-more")
-        found = materialise(check_pairs(more, light, docs, key, text, least), "near-links")
-        if found.isEmpty():
-            break
-        tried, links = tried.union(more), links.union(found)
-        labels = components(links)
-    rest = open_nodes(large, labels)
-    if not rest.isEmpty():
-        texts = texts_of(light.join(rest, "node", "left_semi"), docs, key, text)
-        more = materialise(rare_pairs(texts, labels, least).join(tried, ["a", "b"], "left_anti"), "near-more")
-        links = links.union(materialise(check_pairs(more, light, docs, key, text, least), "near-links"))
-        labels = components(links)
-    placed = nodes.select("node", "digest").join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("label"))
+    buckets = materialise(spread.join(shared, "band").select("band", "node", "weight", "m"), "near-buckets")
+    needed = materialise(nodes.select("node", "rep", "own").join(buckets.select("node").distinct(), "node", "left_semi"), "near-needed")
+    sets = materialise(elements_of(texts_of(needed, docs, key, text)), "near-elements")
+    labels = components(check_pairs(star_pairs(buckets, least), sets, least))
+    more = components(tile_links(open_tiles(buckets, labels), sets, least))
+    joined = labels.withColumnRenamed("label", "first").join(more.select(F.col("node").alias("first"), "label"), "first", "left").select("node", F.coalesce("label", "first").alias("label"))
+    joined = joined.union(more.join(labels, "node", "left_anti").select("node", "label"))
+    placed = nodes.select("node", "digest").join(joined, "node", "left").select("digest", F.coalesce("label", "node").alias("label"))
     member = signed.select("id", "own", "row", "digest").join(placed, "digest", "left")
     # a text without words is a class of its own
     member = materialise(member.select("id", "own", "row", F.coalesce("label", -1 - F.col("row")).alias("label")), "near-member")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
     # written, so that the join is with a plain table and Spark can split a class that very many rows share
     whole = materialise(member.groupBy("label").agg(first.alias("f"), F.count("*").alias("class_size")), "near-classes")
+    discard(signed, nodes, buckets, needed, sets)
     return member.join(whole, "label").select("id", "own", F.col("f.id").alias("class_id"), "class_size", (F.col("row") == F.col("f.row")).alias("kept"))
 
 
