@@ -63,6 +63,11 @@ def materialise(df: DataFrame, name: str, compression: str | None = None) -> Dat
     return table
 
 
+def written_at(table: DataFrame) -> str:
+    """Where materialise has written a table."""
+    return _tables[table]
+
+
 def discard(*tables: DataFrame) -> None:
     """Remove tables that materialise has written and nothing reads any more."""
     for t in tables:
