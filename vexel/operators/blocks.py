@@ -38,25 +38,25 @@ def scores(x: np.ndarray, x_norm: np.ndarray, q: np.ndarray, metric: str) -> np.
 
 
 def top(s: np.ndarray, slots: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of one query's scores the k best, ties to the smaller slot."""
+    """Of one query's scores the places of the k best, ties to the smaller slot, and those scores."""
+    near = np.arange(len(s))
     if len(s) > 4 * k:  # the ordering is for those that may be among them
         near = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k])
-        s, slots = s[near], slots[near]
-    order = np.lexsort((slots, -s))[:k]
-    return slots[order], s[order]
+    near = near[np.lexsort((slots[near], -s[near]))[:k]]
+    return near, s[near]
 
 
 def block_topk(data: DataFrame, queries: DataFrame, k: int, metric: str, partitions: int) -> DataFrame:
-    """(qid, slot, score) with at most k rows per query and block; data has block, slot, v and queries block, qid, v."""
+    """(qid, slot, id, score) with at most k rows per query and block; data has block, slot, id, v and queries block, qid, v."""
     if k == 0:
-        return data.sparkSession.createDataFrame([], "qid long, slot long, score double")
+        return data.sparkSession.createDataFrame([], "qid long, slot long, id long, score double")
     v = F.col("v").cast("array<double>").alias("v")
-    rows = data.select("block", F.lit(0).alias("kind"), F.col("slot").alias("key"), v).where("v is not null")
-    asked = queries.select("block", F.lit(1).alias("kind"), F.col("qid").alias("key"), v).where("v is not null")
+    rows = data.select("block", F.lit(0).alias("kind"), F.col("slot").alias("key"), F.col("id").cast("long").alias("id"), v).where("v is not null")
+    asked = queries.select("block", F.lit(1).alias("kind"), F.col("qid").alias("key"), F.lit(None).cast("long").alias("id"), v).where("v is not null")
     dealt = rows.unionByName(asked).repartition(partitions, "block").sortWithinPartitions("block", "kind", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held, x, norm, slots = None, [], None, None, None
+        block, held, x, norm, slots, ids = None, [], None, None, None, None
         for b in batches:
             where, kind = b.column(0).to_numpy(), b.column(1).to_numpy()
             cuts = [0, *(np.flatnonzero((np.diff(where) != 0) | (np.diff(kind) != 0)) + 1), b.num_rows]
@@ -66,25 +66,26 @@ def block_topk(data: DataFrame, queries: DataFrame, k: int, metric: str, partiti
                 if where[a] != block:
                     block, held, x = where[a], [], None
                 part = b.slice(a, z - a)
-                keys, vectors = part.column(2).to_numpy(), part.column(3).flatten().to_numpy().reshape(z - a, -1)
+                keys, vectors = part.column(2).to_numpy(), part.column(4).flatten().to_numpy().reshape(z - a, -1)
                 if kind[a] == 0:
-                    held.append((keys, vectors))
+                    held.append((keys, vectors, part.column(3)))
                     continue
                 if x is None:
                     if not held:
                         continue
                     slots, x = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+                    ids = pa.concat_arrays([h[2] for h in held])
                     norm, held = np.sqrt((x * x).sum(axis=1)), [None]
                 step = max(1, SCORES // len(slots))
                 for at in range(0, len(keys), step):
                     found = [top(s, slots, k) for s in scores(x, norm, vectors[at : at + step], metric)]
                     sizes = [len(f[0]) for f in found]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.repeat(keys[at : at + step], sizes)), pa.array(np.concatenate([f[0] for f in found])), pa.array(np.concatenate([f[1] for f in found]))],
-                        ["qid", "slot", "score"],
+                        [pa.array(np.repeat(keys[at : at + step], sizes)), pa.array(slots[np.concatenate([f[0] for f in found])]), ids.take(pa.array(np.concatenate([f[0] for f in found]))), pa.array(np.concatenate([f[1] for f in found]))],
+                        ["qid", "slot", "id", "score"],
                     )
 
-    return dealt.mapInArrow(run, "qid long, slot long, score double")
+    return dealt.mapInArrow(run, "qid long, slot long, id long, score double")
 
 
 def ranked(hits: DataFrame, k: int, per: str = "qid") -> DataFrame:

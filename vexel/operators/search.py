@@ -89,7 +89,6 @@ def knn_join(queries: DataFrame, table: DataFrame, k: int = 10, metric: str = "c
         pairs = rows.crossJoin(F.broadcast(queries.select("qid", F.col("v").alias("q"))))
         return blocks.ranked(pairs.select("qid", "slot", "id", score_column(F.col("v"), F.col("q"), metric).alias("score")), k).select("qid", "rank", "slot", "id", "score")
     n = blocks.n_blocks(rows.select("slot").count(), table.sparkSession.sparkContext.defaultParallelism)
-    data = rows.select(F.pmod(F.xxhash64("slot"), F.lit(n)).cast("int").alias("block"), "slot", "v")
+    data = rows.select(F.pmod(F.xxhash64("slot"), F.lit(n)).cast("int").alias("block"), "slot", "id", "v")
     asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"), F.col("qid").cast("long").alias("qid"), "v")
-    best = blocks.ranked(blocks.block_topk(data, asked, k, metric, n), k)
-    return best.join(rows.select("slot", "id"), "slot").select("qid", "rank", "slot", "id", "score")
+    return blocks.ranked(blocks.block_topk(data, asked, k, metric, n), k).select("qid", "rank", "slot", "id", "score")
