@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from vexel.operators import graph
 from vexel.operators.graph import GraphIndex
 from vexel.operators.ivf import IvfIndex
 from vexel.operators.search import knn, knn_join
@@ -118,6 +119,35 @@ def test_graph(spark, table):
     assert GraphIndex.build(table.limit(0), Config(M=10)).search(q, 5).count() == 0
 
 
+def test_cells_of_edges(spark):
+    """With several cells, most of each node's nearest are found; with all of them visited, they are exact."""
+    t = materialise(vector_table(generate(spark, 3000, 16), 16), "test")
+    exact = {(r.src, r.dst) for r in graph.nearest_edges(t, 6).collect()}
+    some = {(r.src, r.dst) for r in graph.cell_edges(t, 6, breadth=25).collect()}
+    assert len(some) == len(exact) == 18_000 and 0.4 < len(some & exact) / len(exact) < 1
+    assert {(r.src, r.dst) for r in graph.cell_edges(t, 6, breadth=75).collect()} == exact
+    assert graph.cell_edges(t.limit(0), 6).count() == 0
+
+
+def test_graph_after_the_build(spark, table):
+    """More nodes, deletes and filters on a graph that stands."""
+    q = queries_of(spark, 25)
+    g = GraphIndex.build(table.where("slot % 3 <> 0"), Config(M=10))
+    g = g.insert(table.where("slot % 3 = 0"))
+    assert g.nodes.count() == 600 and g.edges.where("layer = 0").groupBy("src").count().agg({"count": "max"}).first()[0] <= 20
+    assert g.insert(table.limit(0)) is g
+    hits = materialise(g.search(q, 10, ef=80), "test-hits")
+    assert mean_recall(hits, knn_join(q, table, 10), 10).first().recall >= 0.9
+    gone, where = table.where("slot % 4 = 1").select("slot"), {"year": {"$lt": 2022}}
+    left = table.join(gone, "slot", "left_anti")
+    hits = materialise(g.search(q, 10, ef=200, gone=gone, where=where), "test-hits")
+    assert mean_recall(hits, knn_join(q, left, 10, where=where), 10).first().recall >= 0.9
+    bad = {r.slot for r in gone.collect()} | {r.slot for r in table.collect() if json.loads(r.metadata)["year"] >= 2022}
+    assert not bad & {r.slot for r in hits.collect()}
+    first = GraphIndex.build(table.limit(0), Config(M=10)).insert(table)
+    assert mean_recall(first.search(q, 10, ef=80), knn_join(q, table, 10), 10).first().recall >= 0.9
+
+
 def test_measures(spark):
     w = Stopwatch(clock=iter([1.0, 3.5]).__next__)
     with w.timed("a"):

@@ -1,10 +1,13 @@
 """Approximate search over a layered neighbour graph held as tables, for all queries at once.
 
 nodes is (slot, id, embedding, metadata, deleted, level), edges (layer, src, dst, sim). A layer's edges are each node's
-nearest M of that layer, with their reverses, cut to the nearest 2 M on layer 0 and M above. A search holds a table of
+nearest M of that layer among the rows of the cells near to it, with their reverses, cut to the nearest 2 M on layer 0
+and M above; the breadth while building says how many cells a node visits. More nodes are linked by searching the graph
+with that breadth, and only the lists that they enter are cut again. A search holds a table of
 (qid, slot, sim, expanded); each superstep expands every open node among a query's best ef, joins their edges, leaves
 out what the query has met, scores, and cuts to ef again, until nothing is open. This expands all that a best-first
-search would. Deleted nodes carry the search on and are left out of its result.
+search would. Nodes that are deleted, before or after the build, or fail a filter carry the search on and are left out
+of its result.
 """
 
 from __future__ import annotations
@@ -16,10 +19,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vexel.operators import blocks
+from vexel.operators.ivf import cell_topk, fit_centroids, nearest_cells, point
 from vexel.operators.search import score_column
+from vexel.plans.predicate import compile_where
 from vexel.plans.storage import materialise
 from vexel.schema import Config, check_k, check_metric
 
+#: Rows of a cell on average, and the breadth for which one cell more is visited.
+CELL_ROWS, PER_CELL = 1024, 25
+#: Nodes spread over the graph at which a search starts, besides the entry point.
+STARTS = 8
+#: How many times k hits a filtered search looks at.
+OVERFETCH = 4
+
 
 def level_of(key: Column, M: int) -> Column:
     """A node's top layer: floor(-ln(u) / ln(M)) with u in (0, 1] from the first 32 bits of its id's MD5."""
@@ -34,19 +46,45 @@ def nearest_edges(nodes: DataFrame, M: int, metric: str = "cosine") -> DataFrame
     spark = nodes.sparkSession
     rows = nodes.select("slot", F.col("embedding").alias("v"))
     n = blocks.n_blocks(rows.count(), spark.sparkContext.defaultParallelism)
-    data = rows.select(F.pmod(F.xxhash64("slot"), F.lit(n)).cast("int").alias("block"), "slot", "v")
+    data = rows.select(F.pmod(F.xxhash64("slot"), F.lit(n)).cast("int").alias("block"), "slot", F.lit(None).cast("long").alias("id"), "v")
     asked = rows.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"), F.col("slot").alias("qid"), "v")
     hits = blocks.block_topk(data, asked, M + 1, metric, n).where("qid <> slot")
     return blocks.ranked(hits, M).select(F.col("qid").alias("src"), F.col("slot").alias("dst"), F.col("score").alias("sim"))
 
 
+def cell_edges(nodes: DataFrame, M: int, metric: str = "cosine", breadth: int = 200) -> DataFrame:
+    """(src, dst, sim): each node's M nearest among the rows of the cells nearest to it, one cell per PER_CELL of breadth.
+
+    Cells have CELL_ROWS rows on average, more where their number would exceed the square root of the nodes', so a node
+    meets breadth * CELL_ROWS / PER_CELL others whatever the size of the table. In a single cell the edges are exact.
+    """
+    nodes = nodes.where(F.col("embedding").isNotNull())
+    n = nodes.count()
+    centroids = fit_centroids(nodes, max(1, min(math.ceil(n / CELL_ROWS), math.ceil(math.sqrt(n)))), metric)
+    near = nearest_cells(centroids, max(1, math.ceil(breadth / PER_CELL)))
+    rows = materialise(nodes.select("slot", F.col("embedding").alias("v"), near(point(F.col("embedding"), metric)).alias("cells")), "graph-cells")
+    data = rows.select(F.col("cells")[0].alias("cell"), "slot", F.lit(None).cast("long").alias("id"), "v")
+    asked = rows.select(F.col("slot").alias("qid"), "v", F.explode("cells").alias("cell"))
+    hits = cell_topk(data, asked, len(centroids), M + 1, metric).where("qid <> slot")
+    return blocks.ranked(hits, M).select(F.col("qid").alias("src"), F.col("slot").alias("dst"), F.col("score").alias("sim"))
+
+
 def with_reverse(edges: DataFrame, most: int) -> DataFrame:
     """Edges with their reverses, cut to the most similar `most` of each source."""
     both = edges.select("src", "dst", "sim").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "sim"))
     # the two directions of a pair may differ in the last bit of sim
     once = both.groupBy("src", "dst").agg(F.max("sim").alias("sim"))
+    return shrunk(once, most)
+
+
+def shrunk(edges: DataFrame, most: int) -> DataFrame:
+    """The most similar `most` edges of each source."""
     order = Window.partitionBy("src").orderBy(F.desc("sim"), "dst")
-    return once.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).drop("n")
+    return edges.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).drop("n")
+
+
+def _most(M: int, layer: int) -> int:
+    return M * (2 if layer == 0 else 1)
 
 
 class GraphIndex:
@@ -65,7 +103,7 @@ class GraphIndex:
         edges = None
         for layer in range(max_layer + 1):
             own = nodes.where(F.col("level") >= layer).select("slot", "embedding")
-            linked = with_reverse(nearest_edges(own, config.M, metric), config.M * (2 if layer == 0 else 1)).select(F.lit(layer).alias("layer"), "src", "dst", "sim")
+            linked = with_reverse(cell_edges(own, config.M, metric, config.ef_construction), _most(config.M, layer)).select(F.lit(layer).alias("layer"), "src", "dst", "sim")
             edges = linked if edges is None else edges.unionByName(linked)
         if edges is None:
             edges = table.sparkSession.createDataFrame([], "layer int, src long, dst long, sim double")
@@ -78,27 +116,64 @@ class GraphIndex:
             return None
         return best.live if best.e.deleted else best.e.slot
 
-    def search(self, queries: DataFrame, k: int = 10, ef: int | None = None, starts: int = 8) -> DataFrame:
-        """qid, rank, slot, id, score of at most k live hits per query (qid, v).
-
-        Breadth is max(ef, k). Layers above 0 are descended with breadth 1 from the entry point; layer 0 starts at
-        where they end and at `starts` nodes spread over the graph, as it may be in parts.
+    def insert(self, table: DataFrame) -> GraphIndex:
+        """The graph with more rows. They are linked to what a search with the breadth of the build finds in the graph and to
+        each other; of the older lists only those that they enter are made again."""
+        if self.max_layer < 0:
+            return GraphIndex.build(table, self.config, self.metric)
+        M, spark = self.config.M, table.sparkSession
+        new = materialise(table.withColumn("level", level_of(F.col("id"), M)), "graph-nodes")
+        top = new.agg(F.max("level")).first()[0]
+        if top is None:
+            return self
+        asked = materialise(new.where(F.col("embedding").isNotNull()).select(F.col("slot").alias("qid"), F.col("embedding").cast("array<double>").alias("q"), "level"), "graph-queries")
+        edges, at = [], self._starts(asked)
+        for layer in range(max(self.max_layer, int(top)), -1, -1):
+            old = self.edges.where(F.col("layer") == layer).select("src", "dst", "sim")
+            beam = self._beam(asked, at, layer, self.config.ef_construction)
+            at = beam.select("qid", "slot")
+            own = new.where(F.col("level") >= layer).select("slot", "embedding")
+            found = beam.join(own.select(F.col("slot").alias("qid")), "qid", "left_semi").select(F.col("qid").alias("src"), F.col("slot").alias("dst"), "sim")
+            found = found.join(self.nodes.where(F.col("level") >= layer).select(F.col("slot").alias("dst")), "dst", "left_semi").select("src", "dst", "sim")
+            linked = materialise(shrunk(found.unionByName(cell_edges(own, M, self.metric, self.config.ef_construction)), M), "graph-linked")
+            entered = linked.select(F.col("dst").alias("src")).union(linked.select("src")).distinct()
+            changed = with_reverse(linked, 1 << 30).unionByName(old.join(entered, "src", "left_semi"))
+            edges.append(shrunk(changed, _most(M, layer)).unionByName(old.join(entered, "src", "left_anti")).select(F.lit(layer).alias("layer"), "src", "dst", "sim"))
+        joined = edges[0]
+        for e in edges[1:]:
+            joined = joined.unionByName(e)
+        nodes = materialise(self.nodes.unionByName(new.select(*self.nodes.columns)), "graph-nodes")
+        return GraphIndex(nodes, materialise(joined, "graph-edges"), self.config, self.metric, max(self.max_layer, int(top)))
+
+    def search(self, queries: DataFrame, k: int = 10, ef: int | None = None, starts: int = STARTS, where: dict | None = None, gone: DataFrame | None = None) -> DataFrame:
+        """qid, rank, slot, id, score of at most k hits per query (qid, v) that are live and pass the filter.
+
+        Breadth is max(ef, k), or with a filter max(ef, OVERFETCH * k); where few rows pass it, fewer than k may be found.
+        gone has the slots that were deleted since the build. Layers above 0 are descended with breadth 1 from the entry
+        point; layer 0 starts at where they end and at `starts` nodes spread over the graph, as it may be in parts.
         """
-        k, ef = check_k(k), max(ef or self.config.ef_search, k)
-        entry = self.entry_point()
-        if entry is None or k == 0:
+        k, ef = check_k(k), max(ef or self.config.ef_search, k if where is None else OVERFETCH * k)
+        if self.entry_point() is None or k == 0:
             return self.nodes.sparkSession.createDataFrame([], "qid long, rank long, slot long, id long, score double")
         asked = materialise(queries.select(F.col("qid").cast("long").alias("qid"), F.col("v").cast("array<double>").alias("q")), "graph-queries")
-        at = asked.select("qid", F.lit(entry).cast("long").alias("slot"))
+        at = self._starts(asked, 0)
         for layer in range(self.max_layer, 0, -1):
             at = self._beam(asked, at, layer, 1).select("qid", "slot")
-        spread = [r.slot for r in self.nodes.select("slot").orderBy(F.xxhash64("slot"), "slot").limit(starts).collect()]
-        more = asked.select("qid", F.explode(F.array(*[F.lit(s).cast("long") for s in spread])).alias("slot"))
-        beam = self._beam(asked, at.unionByName(more).distinct(), 0, ef)
-        live = self.nodes.where(~F.col("deleted")).select("slot", "id")
-        hits = beam.join(live, "slot").select("qid", "slot", "id", F.col("sim").alias("score"))
+        beam = self._beam(asked, at.unionByName(self._starts(asked, starts)).distinct(), 0, ef)
+        fit = self.nodes.where(~F.col("deleted"))
+        if (test := compile_where(where, F.col("metadata"))) is not None:
+            fit = fit.where(test)
+        if gone is not None:
+            fit = fit.join(gone.select("slot"), "slot", "left_anti")
+        hits = beam.join(fit.select("slot", "id"), "slot").select("qid", "slot", "id", F.col("sim").alias("score"))
         return blocks.ranked(hits, k).select("qid", "rank", "slot", "id", "score")
 
+    def _starts(self, asked: DataFrame, spread: int = STARTS) -> DataFrame:
+        """(qid, slot): the entry point and `spread` nodes more for every query."""
+        slots = {r.slot for r in self.nodes.select("slot").orderBy(F.xxhash64("slot"), "slot").limit(spread).collect()} if spread else set()
+        slots |= {e} if (e := self.entry_point()) is not None else {self.nodes.agg(F.min("slot")).first()[0]}
+        return asked.select("qid", F.explode(F.array(*[F.lit(s).cast("long") for s in sorted(slots)])).alias("slot"))
+
     def _scored(self, asked: DataFrame, pairs: DataFrame) -> DataFrame:
         met = pairs.join(self.nodes.select("slot", "embedding"), "slot").join(asked, "qid")
         return met.select("qid", "slot", score_column(F.col("embedding"), F.col("q"), self.metric).alias("sim"))
