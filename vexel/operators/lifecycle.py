@@ -29,16 +29,21 @@ POINTER = "CURRENT"
 
 def delete(table: DataFrame, ids: DataFrame) -> DataFrame:
     """table with the first slot of every id of ids (id) marked; unknown ids are ignored."""
-    gone = ids.select("id").distinct()
-    first = table.join(gone, "id", "left_semi").groupBy("id").agg(F.min("slot").alias("slot")).select("slot", F.lit(True).alias("__gone"))
+    first = first_slots(table, ids).withColumn("__gone", F.lit(True))
     marked = table.join(first, "slot", "left")
     return marked.select(*[(F.col("deleted") | F.coalesce("__gone", F.lit(False))).alias("deleted") if c == "deleted" else F.col(c) for c in table.columns])
 
 
+def first_slots(table: DataFrame, ids: DataFrame) -> DataFrame:
+    """The first slot of every id of ids (id) that table has."""
+    return table.select("id", "slot").join(ids.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("slot").alias("slot")).select("slot")
+
+
 def is_deleted(table: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, deleted) for every id of ids: the flag of its first slot; false for an unknown id."""
-    flags = table.groupBy("id").agg(F.min_by("deleted", "slot").alias("deleted"))
-    return ids.select("id").distinct().join(flags, "id", "left").select("id", F.coalesce("deleted", F.lit(False)).alias("deleted"))
+    asked = ids.select("id").distinct()
+    flags = table.select("id", "slot", "deleted").join(asked, "id", "left_semi").groupBy("id").agg(F.min_by("deleted", "slot").alias("deleted"))
+    return asked.join(flags, "id", "left").select("id", F.coalesce("deleted", F.lit(False)).alias("deleted"))
 
 
 def sizes(table: DataFrame) -> DataFrame:
@@ -170,12 +175,17 @@ def checkpoint(spark: SparkSession, snapshot: str, log: str, **more) -> DataFram
     table = replay(lines, base)
     kept = {k: v for k, v in own.items() if k not in ("version", "checkpoint_seq")}
     save(table, snapshot, -1 if last is None else last, **(kept | more))
+    truncate(spark, log, -1 if last is None else last)
+    return load(spark, snapshot)
+
+
+def truncate(spark: SparkSession, log: str, last: int) -> None:
+    """Remove the log files whose lines all have a seq up to last."""
     fs, at = _files(spark, log)
     if fs.exists(at(log)):
-        covered = read_log(spark, log).groupBy(F.col("_metadata.file_path").alias("f")).agg(F.max("seq").alias("last")).where(F.col("last") <= (-1 if last is None else last))
+        covered = read_log(spark, log).groupBy(F.col("_metadata.file_path").alias("f")).agg(F.max("seq").alias("last")).where(F.col("last") <= last)
         for r in covered.toLocalIterator():
             fs.delete(at(r.f), False)
-    return load(spark, snapshot)
 
 
 def recover(spark: SparkSession, snapshot: str, log: str) -> DataFrame:
