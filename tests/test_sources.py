@@ -7,7 +7,9 @@ from vexel import cli
 from vexel.functions import table as table_function
 from vexel.index import Index
 from vexel.operators import lifecycle as lc
-from vexel.schema import vector_table
+from vexel.operators.graph import GraphIndex
+from vexel.operators.search import knn
+from vexel.schema import Config, vector_table
 from vexel.sources import files
 
 
@@ -132,6 +134,55 @@ def test_index_object(spark, tmp_path):
             bad()
 
 
+def test_index_after_the_build(spark, tmp_path):
+    """Deletes show at once in what has been built, and rows inserted since are found."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((60, 8))
+    index = Index(spark, 8, log=f"file://{tmp_path}/log")
+    for i, v in enumerate(x):
+        index.insert(i, v, {"even": i % 2 == 0})
+    for method in ("ivf", "graph"):
+        index.build(method, cells=4)
+    ids = lambda method, **more: [h["id"] for h in index.search(x[10], 8, method=method, nprobe=4, **more)]
+    index.delete(10)
+    index.insert(100, x[10] * 2, {"even": True})
+    index.insert(101, x[10] + 0.01, {"even": False})
+    for method in ("ivf", "graph", "exact"):
+        assert ids(method)[:2] == [100, 101] and 10 not in ids(method) and ids(method) == ids("exact"), method
+        assert ids(method, where={"even": True}) == ids("exact", where={"even": True})
+    q = spark.createDataFrame([(0, x[10].tolist())], "qid long, v array<double>")
+    many = [[r.id for r in index.search_many(q, 8, {"even": True}, method, nprobe=4).orderBy("rank").collect()] for method in ("ivf", "graph", "exact")]
+    assert many[0] == many[1] == many[2] == ids("exact", where={"even": True})
+    index.update()
+    index.delete(101)
+    for method in ("ivf", "graph"):
+        assert ids(method) == ids("exact") and ids(method)[0] == 100
+    parts = lambda: sorted(p.name for p in (tmp_path / "log").glob("*.parquet"))
+    assert parts() and index.live_size() == 60 and len(index) == 62
+    with pytest.raises(ValueError):
+        index.compact()
+    index.compact(f"file://{tmp_path}/s")
+    assert not parts() and len(index) == index.live_size() == 60
+    other = Index(spark, 8, log=f"file://{tmp_path}/log")
+    other.load(f"file://{tmp_path}/s")
+    assert len(other) == 60 and not other.is_deleted(10) and ids("exact") == [h["id"] for h in other.search(x[10], 8)]
+
+
+def test_page_store(spark, tmp_path):
+    x = np.random.default_rng(2).standard_normal((230, 64)).astype("<f4")
+    rows = vector_table(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<float>"))
+    assert files.append_pages(rows.where("slot < 100"), f"{tmp_path}/p", 64) == (0, 100)
+    assert files.append_pages(rows.where("slot < 0"), f"{tmp_path}/p", 64) == (100, 0)
+    assert files.append_pages(rows.where("slot >= 100"), f"{tmp_path}/p", 64) == (100, 130)
+    got = spark.read.format("vector_pages").option("partRows", 7).option("dim", 64).load(f"{tmp_path}/p").orderBy("slot").collect()
+    assert [r.slot for r in got] == list(range(230)) and np.array_equal(np.array([r.embedding for r in got], "<f4"), x)
+    table = files.page_table(spark, f"{tmp_path}/p", 64)
+    assert [r.id for r in knn(table, x[150].tolist(), 1).collect()] == [150]
+    g = GraphIndex.build(table, Config(M=8))
+    q = spark.createDataFrame([(i, x[i].tolist()) for i in (3, 120)], "qid long, v array<double>")
+    assert {(r.qid, r.id) for r in g.search(q, 1).collect()} == {(3, 3), (120, 120)}
+
+
 def test_table_function(spark):
     table_function.register(spark)
     t = vector_table(files.generate(spark, 100, 4))

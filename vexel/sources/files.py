@@ -1,18 +1,23 @@
 """Readers of array, index, log and page files, as Spark data sources, and their writers.
 
-All files are little-endian. Readers plan partitions from headers and lengths on the driver, without reading vectors;
-each partition then reads its own range of the file. After ``register(spark)``:
+All files are little-endian. Readers plan partitions on the driver from headers and, where texts, lists or records vary in
+length, from one walk over their lengths that skips what lies between; each partition then reads its own range of the
+file and hands it on in Arrow batches of BATCH_ROWS. After ``register(spark)``:
 
     spark.read.format("npy").load(path)              id, embedding: a NumPy matrix of floats
     spark.read.format("vector_index").load(path)     slot, id, embedding, metadata, deleted, level
     spark.read.format("vector_index").option("part", "edges").load(path)      layer, src, dst
     spark.read.format("vector_log").load(path)       seq, op, id, embedding, metadata
     spark.read.format("vector_pages").option("dim", d).load(path)             slot, embedding
+
+A page store is one page file, or a folder of them in which append_pages adds a file; page_table makes it a vector table
+for every search.
 """
 
 from __future__ import annotations
 
 import ast
+import io
 import re
 import struct
 from collections.abc import Iterator
@@ -21,9 +26,11 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from vexel.operators.lifecycle import DELETE, INSERT
+from vexel.schema import vector_table
 
 # Fixed values of the file formats.
 NPY_MAGIC = b"\x93NUMPY"
@@ -33,6 +40,8 @@ PAGE_BYTES, PAGE_HEADER = 4096, 8
 
 #: Vectors or log records of a partition, unless option "partRows" says otherwise.
 PART_ROWS = 65_536
+#: Rows of a batch that a reader hands on.
+BATCH_ROWS = 2_048
 
 
 def opened(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -48,8 +57,19 @@ def _take(f, n: int) -> bytes:
     return data
 
 
-def _floats(data: bytes, dim: int) -> list[list[float]]:
-    return np.frombuffer(data, "<f4").reshape(-1, dim).tolist()
+def _lists(x: np.ndarray) -> pa.Array:
+    """A matrix as a column of float lists."""
+    offsets = np.arange(0, x.size + 1, max(1, x.shape[1]), dtype=np.int32) if x.shape[1] else np.zeros(len(x) + 1, np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(x, "<f4").ravel(), pa.float32()))
+
+
+def _steps(first: int, last: int) -> Iterator[tuple[int, int]]:
+    return ((a, min(last, a + BATCH_ROWS)) for a in range(first, last, BATCH_ROWS))
+
+
+def _walk(store: pafs.FileSystem, path: str) -> io.BufferedReader:
+    """For steps over lengths: small parts that lie close come from one read, long ones are skipped."""
+    return io.BufferedReader(store.open_input_file(path), 1 << 16)
 
 
 class Range(InputPartition):
@@ -88,13 +108,14 @@ class NpyReader(_Reader):
             raise ValueError(f"a matrix of floats is expected, not {kind} {shape}")
         return [Range(p.first, p.last, at, kind=kind.str, dim=shape[1]) for p in _ranges(shape[0], self.rows)]
 
-    def read(self, part: Range) -> Iterator[tuple]:
+    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
         store, path = opened(self.uri)
         kind, dim = np.dtype(part.more["kind"]), part.more["dim"]
         with store.open_input_file(path) as f:
             f.seek(part.at + part.first * dim * kind.itemsize)
-            x = np.frombuffer(_take(f, (part.last - part.first) * dim * kind.itemsize), kind).reshape(-1, dim)
-        yield from zip(range(part.first, part.last), x.astype("<f4").tolist(), strict=True)
+            for a, z in _steps(part.first, part.last):
+                x = np.frombuffer(_take(f, (z - a) * dim * kind.itemsize), kind).reshape(-1, dim)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(a, z)), _lists(x)], ["id", "embedding"])
 
 
 class NpySource(DataSource):
@@ -111,80 +132,89 @@ class NpySource(DataSource):
 
 class IndexReader(_Reader):
     """Fixed parts are found by arithmetic. Metadata texts and link lists vary in length, so the driver walks over their
-    lengths once, a buffered stream that keeps one place per partition."""
+    lengths once, and keeps one place per partition; vectors are not read there."""
 
     def partitions(self):
         store, path = opened(self.uri)
         size = store.get_file_info(path).size
         edges = self.options.get("part", "nodes") == "edges"
-        with store.open_input_stream(path, buffer_size=1 << 20) as f:
+        with _walk(store, path) as f:
             magic, version, dim, _, n = struct.unpack("<IIIIQ", _take(f, 24))
             if magic != INDEX_MAGIC or version not in (1, 2):
                 raise ValueError("not an index file of version 1 or 2")
-            if 24 + n * (8 + 4 * dim) > size:
+            at = 24 + n * (8 + 4 * dim)
+            if at > size:
                 raise ValueError("the file ends early")
-            at = 24
-            for _ in range(n * (8 + 4 * dim) // (1 << 20)):
-                _take(f, 1 << 20)
-            _take(f, n * (8 + 4 * dim) % (1 << 20))
-            at += n * (8 + 4 * dim)
-            texts = []
+            texts, marks, links = [], 0, []
+
+            def length() -> int:
+                f.seek(at)
+                return struct.unpack("<I", _take(f, 4))[0]
+
             for i in range(n):
                 if i % self.rows == 0:
                     texts.append(at)
-                k = struct.unpack("<I", _take(f, 4))[0]
-                _take(f, k)
-                at += 4 + k
-            _take(f, 8)  # highest layer and entry point
-            at += 8
+                at += 4 + length()
+            at += 8  # highest layer and entry point
             marks = at
             if version == 2:
-                _take(f, 8 * -(-n // 64))
                 at += 8 * -(-n // 64)
-            links = []
             for i in range(n):
                 if i % self.rows == 0:
                     links.append(at)
-                layers = struct.unpack("<I", _take(f, 4))[0]
+                layers = length()
                 at += 4
                 for _ in range(layers):
-                    k = struct.unpack("<I", _take(f, 4))[0]
-                    _take(f, 4 * k)
-                    at += 4 + 4 * k
+                    at += 4 + 4 * length()
+            if at > size:
+                raise ValueError("the file ends early")
         return [Range(p.first, p.last, dim=dim, n=n, version=version, marks=marks, edges=edges, text=texts[i] if n else 0, links=links[i] if n else 0) for i, p in enumerate(_ranges(n, self.rows))]
 
-    def read(self, part: Range) -> Iterator[tuple]:
+    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
         m, rows = part.more, part.last - part.first
         if not rows:
             return
         store, path = opened(self.uri)
         with store.open_input_file(path) as f:
-            f.seek(m["links"])
-            levels = []
-            for i in range(rows):
-                layers = struct.unpack("<I", _take(f, 4))[0]
-                levels.append(layers - 1)
-                for layer in range(layers):
-                    k = struct.unpack("<I", _take(f, 4))[0]
-                    to = struct.unpack(f"<{k}I", _take(f, 4 * k))
-                    if m["edges"]:
-                        yield from ((layer, part.first + i, t) for t in to)
             if m["edges"]:
+                f.seek(m["links"])
+                for a, z in _steps(part.first, part.last):
+                    found = [(layer, a + i, to) for i, lists in enumerate(self._links(f, z - a)) for layer, to in enumerate(lists)]
+                    sizes = [len(to) for *_, to in found]
+                    to = np.concatenate([np.empty(0, np.int64), *(x[2] for x in found)])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat([x[k] for x in found], sizes), t) for k, t in ((0, pa.int32()), (1, pa.int64()))] + [pa.array(to, pa.int64())], ["layer", "src", "dst"])
                 return
-            f.seek(24 + 8 * part.first)
-            ids = np.frombuffer(_take(f, 8 * rows), "<u8")
-            if (ids >= 1 << 63).any():
-                raise ValueError("an id doesn't fit into 63 bits")
-            f.seek(24 + 8 * m["n"] + 4 * m["dim"] * part.first)
-            vectors = _floats(_take(f, 4 * m["dim"] * rows), m["dim"])
-            f.seek(m["text"])
-            texts = [_take(f, struct.unpack("<I", _take(f, 4))[0]).decode("utf-8") for _ in range(rows)]
-            dead = np.zeros(rows, bool)
-            if m["version"] == 2:
-                f.seek(m["marks"])
-                words = np.frombuffer(_take(f, 8 * -(-m["n"] // 64)), np.uint8)
-                dead = np.unpackbits(words, bitorder="little")[part.first : part.last].astype(bool)
-        yield from zip(range(part.first, part.last), ids.tolist(), vectors, texts, dead.tolist(), levels, strict=True)
+            places = {"links": m["links"], "text": m["text"]}
+            for a, z in _steps(part.first, part.last):
+                f.seek(24 + 8 * a)
+                ids = np.frombuffer(_take(f, 8 * (z - a)), "<u8")
+                if (ids >= 1 << 63).any():
+                    raise ValueError("an id doesn't fit into 63 bits")
+                f.seek(24 + 8 * m["n"] + 4 * m["dim"] * a)
+                vectors = np.frombuffer(_take(f, 4 * m["dim"] * (z - a)), "<f4").reshape(z - a, m["dim"])
+                f.seek(places["text"])
+                texts = [_take(f, struct.unpack("<I", _take(f, 4))[0]).decode("utf-8") for _ in range(z - a)]
+                places["text"] = f.tell()
+                f.seek(places["links"])
+                levels = [len(x) - 1 for x in self._links(f, z - a)]
+                places["links"] = f.tell()
+                dead = np.zeros(z - a, bool)
+                if m["version"] == 2:
+                    word = a // 64
+                    f.seek(m["marks"] + 8 * word)
+                    bits = np.unpackbits(np.frombuffer(_take(f, 8 * (-(-z // 64) - word)), np.uint8), bitorder="little")
+                    dead = bits[a - 64 * word : z - 64 * word].astype(bool)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.arange(a, z)), pa.array(ids.astype(np.int64)), _lists(vectors), pa.array(texts, pa.string()), pa.array(dead), pa.array(levels, pa.int32())],
+                    ["slot", "id", "embedding", "metadata", "deleted", "level"],
+                )
+
+    @staticmethod
+    def _links(f, n: int) -> Iterator[list[np.ndarray]]:
+        """Of n nodes, the lists of their layers."""
+        for _ in range(n):
+            layers = struct.unpack("<I", _take(f, 4))[0]
+            yield [np.frombuffer(_take(f, 4 * struct.unpack("<I", _take(f, 4))[0]), "<u4").astype(np.int64) for _ in range(layers)]
 
 
 class IndexSource(DataSource):
@@ -201,9 +231,10 @@ class IndexSource(DataSource):
         return IndexReader(self.options)
 
 
-def _records(f, size: int) -> Iterator[tuple[int, int, int, int, bytes, bytes]]:
-    """(offset, op, id, dim, vector, metadata) of a log's whole records; one that is cut off ends it."""
-    at = 0
+def _records(f, size: int, skip: bool = False) -> Iterator[tuple[int, int, int, bytes, bytes]]:
+    """(offset, op, id, vector, metadata) of a log's whole records; one that is cut off ends it. With skip, vectors and
+    texts are passed over."""
+    at, base = 0, f.tell()
     while True:
         head = f.read(13)
         if len(head) < 13:
@@ -211,12 +242,14 @@ def _records(f, size: int) -> Iterator[tuple[int, int, int, int, bytes, bytes]]:
         op, key, dim = struct.unpack("<BQI", head)
         if at + 13 + 4 * dim + 4 > size:
             return
-        vector, length = f.read(4 * dim), f.read(4)
-        n = struct.unpack("<I", length)[0]
+        vector = b"" if skip else f.read(4 * dim)
+        f.seek(base + at + 13 + 4 * dim)
+        n = struct.unpack("<I", f.read(4))[0]
         if at + 17 + 4 * dim + n > size:
             return
-        yield at, op, key, dim, vector, f.read(n)
+        yield at, op, key, vector, b"" if skip else f.read(n)
         at += 17 + 4 * dim + n
+        f.seek(base + at)
 
 
 class LogReader(_Reader):
@@ -226,23 +259,29 @@ class LogReader(_Reader):
         if info.type == pafs.FileType.NotFound:
             return [Range(0, 0)]
         starts, n = [], 0
-        with store.open_input_stream(path, buffer_size=1 << 20) as f:
-            for at, *_ in _records(f, info.size):
+        with _walk(store, path) as f:
+            for at, *_ in _records(f, info.size, skip=True):
                 if n % self.rows == 0:
                     starts.append(at)
                 n += 1
         return [Range(p.first, p.last, starts[i] if n else 0, size=info.size) for i, p in enumerate(_ranges(n, self.rows))]
 
-    def read(self, part: Range) -> Iterator[tuple]:
+    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
         if part.first == part.last:
             return
         store, path = opened(self.uri)
-        with store.open_input_file(path) as f:
+        with _walk(store, path) as f:
             f.seek(part.at)
-            for seq, (_, op, key, dim, vector, text) in zip(range(part.first, part.last), _records(f, part.more["size"] - part.at)):
-                if op in OP_CODES:
-                    own = OP_CODES[op] == INSERT
-                    yield seq, OP_CODES[op], key, np.frombuffer(vector, "<f4").tolist() if own else None, text.decode("utf-8") if own else None
+            records = _records(f, part.more["size"] - part.at)
+            for a, z in _steps(part.first, part.last):
+                got = [(seq, OP_CODES[op], key, vector, text) for seq, (_, op, key, vector, text) in zip(range(a, z), records) if op in OP_CODES]
+                own = [g[1] == INSERT for g in got]
+                vectors = [np.frombuffer(g[3], "<f4") if x else None for g, x in zip(got, own, strict=True)]
+                texts = [g[4].decode("utf-8") if x else None for g, x in zip(got, own, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.string()), pa.array([g[2] for g in got], pa.int64()), pa.array(vectors, pa.list_(pa.float32())), pa.array(texts, pa.string())],
+                    ["seq", "op", "id", "embedding", "metadata"],
+                )
 
 
 class LogSource(DataSource):
@@ -264,29 +303,52 @@ def per_page(dim: int) -> int:
     return n
 
 
+def _slots(size: int, dim: int) -> int:
+    whole, rest = divmod(size, PAGE_BYTES)
+    return whole * per_page(dim) + max(0, rest - PAGE_HEADER) // (4 * dim)
+
+
+#: Name of a file in a folder of pages: its first slot and the number of its slots.
+PAGE_FILE = re.compile(r"pages-(\d+)-(\d+)$")
+
+
+def _page_files(store: pafs.FileSystem, path: str, dim: int) -> list[tuple[int, int, str]]:
+    """(first slot, slots, path) of a page store's files, in order."""
+    info = store.get_file_info(path)
+    if info.type == pafs.FileType.File:
+        return [(0, _slots(info.size, dim), path)]
+    if info.type == pafs.FileType.NotFound:
+        return []
+    named = [(PAGE_FILE.search(x.path), x.path) for x in store.get_file_info(pafs.FileSelector(path))]
+    return sorted((int(m[1]), int(m[2]), p) for m, p in named if m)
+
+
 class PageReader(_Reader):
-    """Slots of whole pages, and of a last partial one. Pages don't say how many slots they hold: option "count" does,
-    else the file's length."""
+    """Slots of whole pages, and of a last partial one. A single file doesn't say how many slots it holds: option "count"
+    does, else its length. Files of a folder have it in their names."""
 
     def partitions(self):
         dim = int(self.options["dim"])
-        store, path = opened(self.uri)
-        size = store.get_file_info(path).size
-        whole, rest = divmod(size, PAGE_BYTES)
-        n = whole * per_page(dim) + max(0, rest - PAGE_HEADER) // (4 * dim)
-        return [Range(p.first, p.last, dim=dim) for p in _ranges(min(n, int(self.options.get("count", n))), self.rows)]
+        parts = []
+        for first, n, path in _page_files(*opened(self.uri), dim):
+            n = min(n, int(self.options.get("count", first + n)) - first)
+            parts += [Range(first + p.first, first + p.last, at=first, dim=dim, path=path) for p in _ranges(n, self.rows) if p.last > p.first]
+        return parts or [Range(0, 0, dim=dim, path="")]
 
-    def read(self, part: Range) -> Iterator[tuple]:
-        dim = part.more["dim"]
-        store, path = opened(self.uri)
-        with store.open_input_file(path) as f:
-            slot = part.first
-            while slot < part.last:
-                page, place = divmod(slot, per_page(dim))
-                n = min(part.last - slot, per_page(dim) - place)
-                f.seek(page * PAGE_BYTES + PAGE_HEADER + place * 4 * dim)
-                yield from zip(range(slot, slot + n), _floats(_take(f, 4 * dim * n), dim), strict=True)
-                slot += n
+    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
+        if part.first == part.last:
+            return
+        dim, store = part.more["dim"], opened(self.uri)[0]
+        per, width = per_page(dim), 4 * dim
+        with store.open_input_file(part.more["path"]) as f:
+            for a, z in _steps(part.first - part.at, part.last - part.at):
+                begin, end = a // per * PAGE_BYTES, (z - 1) // per * PAGE_BYTES + PAGE_HEADER + ((z - 1) % per + 1) * width
+                f.seek(begin)
+                data = np.frombuffer(_take(f, end - begin), np.uint8)
+                data = np.concatenate([data, np.zeros(-len(data) % PAGE_BYTES, np.uint8)]).reshape(-1, PAGE_BYTES)
+                x = np.ascontiguousarray(data[:, PAGE_HEADER : PAGE_HEADER + per * width]).view("<f4").reshape(-1, dim)
+                skip = a - a // per * per
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(part.at + a, part.at + z)), _lists(x[skip : skip + z - a])], ["slot", "embedding"])
 
 
 class PageSource(DataSource):
@@ -351,11 +413,27 @@ def write_pages(rows: DataFrame, path: str, dim: int) -> None:
             put()
 
 
+def append_pages(rows: DataFrame, folder: str, dim: int) -> tuple[int, int]:
+    """Add rows in order of slot to a folder of page files, as one file more that shows by one rename; the first slot that
+    they have in the store and their number. Nothing that is there is written again."""
+    store, at = opened(folder)
+    store.create_dir(at, recursive=True)
+    first = max((a + n for a, n, _ in _page_files(store, at, dim)), default=0)
+    n = rows.count()
+    if n:
+        write_pages(rows, f"{folder}/.new", dim)
+        store.move(f"{at}/.new", f"{at}/pages-{first:020d}-{n}")
+    return first, n
+
+
+def page_table(spark: SparkSession, path: str, dim: int) -> DataFrame:
+    """The vectors of a page store as a vector table; a slot is also its id."""
+    return vector_table(spark.read.format("vector_pages").option("dim", dim).load(path).select("slot", F.col("slot").alias("id"), "embedding"), slot="slot")
+
+
 def write_index(nodes: DataFrame, edges: DataFrame, path: str, dim: int, max_layer: int, entry: int) -> None:
     """Version 2, from nodes (slot, id, embedding, metadata, deleted, level) and edges (layer, src, dst). Slots must be
     dense. Parts follow each other, so the table is streamed once for each."""
-    from pyspark.sql import functions as F
-
     store, at = opened(path)
     nodes = nodes.orderBy("slot")
     n = nodes.count()
