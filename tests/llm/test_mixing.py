@@ -51,6 +51,25 @@ def test_fill():
     assert mx.fill([1_000_000], [5], 2_400_000) == (0, [2]) and mx.fill([1_000_000], [1], 600_000) == (0, [1]) and mx.fill([0], [4], 0.0) == (0, [0])
 
 
+def test_remainder_is_met_as_nearly_as_any_sum(monkeypatch):
+    """The window grows until the sum is the nearest there is, whatever it begins with."""
+    rnd = random.Random(8)
+    for width in (4, 1 << 13):
+        monkeypatch.setattr(mx, "WINDOW_WORDS", width)
+        for _ in range(150):
+            lengths = [x * rnd.choice([1, 6]) for x in rnd.sample(range(1, 40), rnd.randint(1, 4))]
+            lengths = list(dict.fromkeys(lengths))
+            counts = [rnd.randint(0, 3) for _ in lengths]
+            rest = rnd.randint(0, 200)
+            got = mx._approach(lengths, counts, rest)
+            assert all(0 <= g <= c for g, c in zip(got, counts, strict=True))
+            best = min(abs(rest - sum(a * b for a, b in zip(lengths, x, strict=True))) for x in itertools.product(*[range(c + 1) for c in counts]))
+            assert abs(rest - sum(a * b for a, b in zip(lengths, got, strict=True))) == best
+    # far more than one window: 7 * 999,999 + 12 * 10,007 is met to the word
+    got = mx._approach([999_999, 10_007, 5_003], [7, 12, 2], 7_120_077)
+    assert 999_999 * got[0] + 10_007 * got[1] + 5_003 * got[2] == 7_120_077
+
+
 def rows():
     rnd = random.Random(4)
     out = [(i, " ".join(["w"] * rnd.randint(1, 60)), rnd.choice(["a", "a", "a", "B", "é", None]), 1, "x") for i in range(900)]

@@ -29,9 +29,22 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def rows_of(docs: DataFrame, chosen: DataFrame, own: Column, key: str) -> DataFrame:
-    """The rows of docs whose key and content digest (own) are in chosen (id, own); of rows alike in both, one."""
-    stays = chosen.select(F.col("id").alias("__id"), F.col("own").alias("__sha"))
-    met = docs.withColumn("__own", own).join(stays, F.col(f"`{key}`").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha")), "left_semi")
-    first = Window.partitionBy(f"`{key}`", "__own").orderBy(F.lit(1))
-    return met.withColumn("__nth", F.row_number().over(first)).where("__nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+def whole(docs: DataFrame) -> Column:
+    """A row of docs as one value, so that no column made beside it can clash with its columns."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def beside(docs: DataFrame, *named: str) -> Column:
+    """What a row has besides the named columns, as text: orders rows that are alike in those."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in named]
+    return F.to_json(F.struct(*rest)) if rest else F.lit("")
+
+
+def rows_of(docs: DataFrame, chosen: DataFrame, own: Column, key: str, text: str) -> DataFrame:
+    """The rows of docs whose key and content digest (own) are in chosen (id, own). Of rows alike in both, one: the first
+    by its other columns, then its text, so the choice doesn't depend on how rows are dealt."""
+    held = docs.select(whole(docs).alias("row"), F.col(f"`{key}`").alias("k"), own.alias("own"), beside(docs, key, text).alias("rest"))
+    stays = chosen.select(F.col("id"), F.col("own").alias("sha"))
+    met = held.join(stays, F.col("k").eqNullSafe(F.col("id")) & (F.col("own") == F.col("sha")), "left_semi")
+    first = Window.partitionBy("k", "own").orderBy("rest", F.col("row").getField(text))
+    return met.withColumn("nth", F.row_number().over(first)).where("nth = 1").select("row.*")

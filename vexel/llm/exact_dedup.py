@@ -2,10 +2,10 @@
 
 The stream's state is keyed by content digest, lives in RocksDB (on disk, checkpointed to the shared folder) and never
 expires. For each digest it retains the stable identifier of the row that stays (the smallest), a locator that leads
-to that row's content, and the number of rows. A second table holds a light line per row: identifier, digest and
-locator; texts never pass through the stream. Every hit on a known digest is then checked against the full bytes of
-the row that stays, found by its locator; rows that differ in spite of an equal digest go round again under the next
-digest, so a weak digest costs passes but never merges different texts.
+to that row's content, and the number of rows. The stream reads a table with a line per row: identifier, digest,
+locator and, in a column of its own that the stream leaves aside, the content. Every hit on a known digest is then checked
+against the full bytes of the row that stays, which its locator finds in that table; rows that differ in spite of an
+equal digest go round again under the next digest, so a weak digest costs passes but never merges different texts.
 """
 
 from __future__ import annotations
@@ -17,13 +17,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from vexel.llm.components import rows_of
-from vexel.plans.storage import materialise, shared_path
+from vexel.plans.storage import materialise, shared_path, written_at
 
-#: State on disk. Files aren't allocated ahead, as each of many small stores would hold room for large ones.
+#: State on disk. Files aren't allocated ahead, as each of many small stores would hold room for large ones; a process's
+#: stores share one bounded memory, and a store is closed when its batch is written.
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
 #: Files of the line table that one micro-batch takes.
 FILES_PER_BATCH = 1000
@@ -99,28 +103,27 @@ def group(docs: DataFrame, digest: Callable[[Column], Column] | None = None, key
     digest = digest or (lambda t: F.sha2(t, 256))
     texts = docs.select(F.col(f"`{key}`").alias("id"), normalised(F.col(f"`{text}`")).alias("t")).withColumn("digest", digest(F.col("t")))
     while True:
-        # written once, so that a row's locator is the same in all that follows
-        lines_path = shared_path(spark, "dedup-lines")
-        texts.select("id", "digest", F.sha2("t", 256).alias("text_sha256")).withColumn("locator", F.monotonically_increasing_id()).write.parquet(lines_path)
-        lines = spark.read.parquet(lines_path)
+        # written once, so that a row's locator is the same in all that follows and leads to its text
+        lines = materialise(texts.select("id", "digest", F.sha2("t", 256).alias("text_sha256"), "t").withColumn("locator", F.monotonically_increasing_id()), "dedup-lines")
         path = shared_path(spark, "dedup-state")
-        run_stream(spark, lines_path, lines.schema, f"{path}/checkpoint", f"{path}/states")
+        run_stream(spark, written_at(lines), lines.schema, f"{path}/checkpoint", f"{path}/states")
         # written, so that its joins are with a plain table and Spark can split a digest that very many rows share
         state = materialise(latest_state(spark, f"{path}/states", lines.schema["id"].dataType.simpleString()), "dedup-kept")
-        mixed = materialise(_mixed(texts, state.where("group_size > 1"), broadcast_rows), "dedup-mixed")
+        mixed = materialise(_mixed(lines, state.where("group_size > 1"), broadcast_rows), "dedup-mixed")
         if mixed.isEmpty():
-            return lines.join(state, "digest")
+            return lines.drop("t").join(state, "digest")
         # different texts met under one digest: those digests get a second part
         mark = mixed.select("digest", F.lit(True).alias("mixed"))
         longer = F.when(F.col("mixed"), F.concat("digest", F.lit(":"), F.sha2("t", 512))).otherwise(F.col("digest"))
-        texts = texts.join(mark, "digest", "left").select("id", "t", longer.alias("digest"))
+        texts = lines.select("id", "t", "digest").join(mark, "digest", "left").select("id", "t", longer.alias("digest"))
 
 
-def _mixed(texts: DataFrame, state: DataFrame, broadcast_rows: int) -> DataFrame:
-    """Digests of which some row's full text differs from that of the row that stays."""
+def _mixed(lines: DataFrame, state: DataFrame, broadcast_rows: int) -> DataFrame:
+    """Digests of which some row's full text differs from that of the row that stays. That row is the one at the state's
+    locator; locators are unique, so this meets no large group, and Spark can split the join that brings it the hits."""
+    texts = lines.select("digest", "locator", "t")
     hits = _of_digests(texts, state, broadcast_rows)
-    stays = hits.join(state.select("digest", "keep_id"), "digest").where(F.col("id").eqNullSafe(F.col("keep_id")))
-    stays = stays.groupBy("digest").agg(F.min("t").alias("stays"))
+    stays = hits.join(state.select(F.col("keep_at").alias("locator")), "locator").select("digest", F.col("t").alias("stays"))
     differ = hits.join(stays, "digest").where(F.col("t") != F.col("stays"))
     # an expression, so that the distinct shuffles what differs and the join before it may be split where it is skewed
     return differ.select(F.concat("digest", F.lit("")).alias("digest")).distinct()
@@ -140,6 +143,10 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that stay, with their own columns."""
+    """The rows of docs that stay, one of each group of equal texts, with their own columns of any names.
+
+    It is a row with the group's smallest key (null keys last); null texts equal empty ones. Of rows alike in key and text,
+    the first by their other columns stays. Empty table: no rows.
+    """
     stays = group(docs, key=key, text=text).where(F.col("locator") == F.col("keep_at")).select("id", F.col("text_sha256").alias("own"))
-    return rows_of(docs, stays, F.sha2(normalised(F.col(f"`{text}`")), 256), key)
+    return rows_of(docs, stays, F.sha2(normalised(F.col(f"`{text}`")), 256), key, text)

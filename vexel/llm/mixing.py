@@ -1,14 +1,17 @@
 """Mixing sources to target weights by fitting word budgets exactly.
 
 Documents are counted by source and exact length. A source's budget is its target; as many whole copies of the source
-as fit are taken, and the rest is filled from the counts: long lengths first while the remainder is large, then by
-bounded-knapsack dynamic programming over the counts that are left, which finds the sum nearest to the remainder.
+as fit are taken, and the rest is filled from the counts: an even share of every length, then by bounded-knapsack
+dynamic programming over the counts that are left, which finds the sum nearest to the remainder. The programme works on
+a window of the remainder, long lengths having been taken up to there; while it doesn't meet the remainder as nearly
+as the lengths' divisor allows, the window grows, at last to the whole remainder, so the sum is always the nearest.
 Which documents of a length are taken follows from a seeded hash of their identifiers.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import gcd
 
 import numpy as np
 import pandas as pd
@@ -17,14 +20,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from vexel.llm.components import beside, whole
 from vexel.plans.storage import materialise
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5, 2, 1)
 #: A source is repeated this many times at most.
 MOST = 3
-#: Remainder, in words, from which the dynamic programme decides alone.
-DP_WORDS = 1 << 13
+#: Words of the remainder that the dynamic programme's first window has.
+WINDOW_WORDS = 1 << 13
 #: Hash ranges in which the documents of one source and length are ranked apart.
 RANGES = 1024
 
@@ -121,20 +125,28 @@ def fill(lengths: Sequence[int], counts: Sequence[int], target: float) -> tuple[
 
 
 def _approach(lengths: Sequence[int], counts: Sequence[int], rest: int) -> list[int]:
-    """How many of each length bring the sum near rest: long ones while it is large, then the programme."""
+    """How many of each length bring the sum as near to rest as any do."""
+    divisor = gcd(*[x for x, c in zip(lengths, counts, strict=True) if c > 0])
+    least = min(rest % divisor, -rest % divisor) if divisor else rest  # no sum is nearer than that
+    width = WINDOW_WORDS
+    while True:
+        taken = _windowed(lengths, counts, rest, width)
+        if width >= rest or abs(rest - sum(a * b for a, b in zip(lengths, taken, strict=True))) == least:
+            return taken
+        width *= 8
+
+
+def _windowed(lengths: Sequence[int], counts: Sequence[int], rest: int, width: int) -> list[int]:
+    """Long lengths until width words are left, then the programme."""
     taken = [0] * len(lengths)
     for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
-        if rest <= DP_WORDS:
+        if rest <= width:
             break
         if lengths[i] > 0:
-            taken[i] = min(counts[i], max(0, rest - DP_WORDS // 2) // lengths[i])
+            taken[i] = min(counts[i], max(0, rest - width // 2) // lengths[i])
             rest -= taken[i] * lengths[i]
-    open_ = [i for i in range(len(lengths)) if 0 < lengths[i] <= 2 * rest and counts[i] > taken[i]]
-    if rest > DP_WORDS:  # each document that is left is about as long as the remainder or longer: one, or none
-        near = min(open_, key=lambda i: abs(rest - lengths[i]), default=None)
-        if near is not None and abs(rest - lengths[near]) < rest:
-            taken[near] += 1
-        return taken
+    # a length of twice the remainder or more is no nearer than none
+    open_ = [i for i in range(len(lengths)) if 0 < lengths[i] < 2 * rest and counts[i] > taken[i]]
     for i, k in zip(open_, knapsack([lengths[i] for i in open_], [counts[i] - taken[i] for i in open_], rest), strict=True):
         taken[i] += k
     return taken
@@ -194,18 +206,22 @@ def _plan(rows: DataFrame, seed: int, weights: Sequence[float], most: int) -> Da
 
 
 def take(docs: DataFrame, seed: int = 0, weights: Sequence[float] = WEIGHTS, most: int = MOST, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The mix itself: the rows of docs, each as often as it is taken, with their own columns."""
+    """The mix itself: the rows of docs, each as often as it is taken, with their own columns of any names.
+
+    Null and empty texts are never taken. Rows alike in key, source and size share their copies; which of them get one more
+    follows from their texts and other columns. Empty table: no rows.
+    """
     k, s, size = F.col(f"`{key}`"), F.col(f"`{source}`").cast("string"), n_words(F.col(f"`{text}`"))
     light = materialise(docs.select(k.alias("k"), s.alias("s"), size.alias("size")), "mix-sizes")
 
     def ident(k: Column, s: Column, size: Column) -> Column:
         return F.to_json(F.struct(k.alias("k"), s.alias("s"), size.alias("n")))
 
-    plan = _plan(light, seed, weights, most).groupBy(ident(F.col("k"), F.col("s"), F.col("size")).alias("__ident")).agg(F.sum("copies").alias("__copies"), F.count("*").alias("__same"))
-    met = docs.withColumn("__ident", ident(k, s, size)).join(plan.where("__copies > 0"), "__ident")
-    # rows alike in key, source and size share their copies; the join has already brought them together
-    nth = F.row_number().over(Window.partitionBy("__ident").orderBy(F.col(f"`{text}`")))
-    times = F.floor(F.col("__copies") / F.col("__same")) + (F.col("__nth") <= F.col("__copies") % F.col("__same")).cast("long")
-    each = met.withColumn("__nth", nth).withColumn("__times", times).where("__times > 0")
-    repeat = F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times"))).alias("__copy")
-    return each.select(*[F.col(f"`{c}`") for c in docs.columns], repeat).drop("__copy")
+    plan = _plan(light, seed, weights, most).groupBy(ident(F.col("k"), F.col("s"), F.col("size")).alias("ident")).agg(F.sum("copies").alias("copies"), F.count("*").alias("same"))
+    held = docs.select(whole(docs).alias("row"), ident(k, s, size).alias("ident"), beside(docs, key, source, text).alias("rest"))
+    met = held.join(plan.where("copies > 0"), "ident")
+    # the join has already brought rows alike together
+    nth = F.row_number().over(Window.partitionBy("ident").orderBy(F.col("row").getField(text), "rest"))
+    times = F.floor(F.col("copies") / F.col("same")) + (F.col("nth") <= F.col("copies") % F.col("same")).cast("long")
+    each = met.withColumn("nth", nth).withColumn("times", times).where("times > 0")
+    return each.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("copy")).select("row.*")

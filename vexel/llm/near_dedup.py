@@ -374,5 +374,9 @@ def near_dedup(docs: DataFrame, least: float = SIMILARITY, key: str = "doc_id",
 
 
 def keep_one(docs: DataFrame, least: float = SIMILARITY, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that stay, with their own columns."""
-    return rows_of(docs, classes(docs, least, key, text).where("kept"), _own(text), key)
+    """The rows of docs that stay, one of each class, with their own columns of any names.
+
+    It is a row with the class's smallest key (null keys last). Null and empty texts and those without words stay. Of rows
+    alike in key and text, the first by their other columns stays. Empty table: no rows.
+    """
+    return rows_of(docs, classes(docs, least, key, text).where("kept"), _own(text), key, text)

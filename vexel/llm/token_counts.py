@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from vexel.plans.storage import bounded_batches
+
 #: Lower case is by single characters, so the capital sigma has no final form.
 SIGMA = str.maketrans({"Σ": "σ"})
 
@@ -144,12 +146,13 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 2048, key: str =
     Null or empty text: 0 bytes, 0 tokens. Null keys and repeated rows stay. Texts of any length are counted
     whole. Empty table: no rows. Columns other than key and text are not read.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{key}`").alias("k"), F.octet_length(F.coalesce(F.col(f"`{text}`"), F.lit(""))).cast("long").alias("n_bytes"), F.col(f"`{text}`").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(vocabulary).count
         for b in batches:
-            n = pa.array([count(t) for t in b.column(2).to_pylist()], pa.int64())
+            n = pa.array([count(t.as_py()) for t in b.column(2)], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), n], ["k", "n_bytes", "n_tokens"])
 
     kind = rows.schema["k"].dataType.simpleString()

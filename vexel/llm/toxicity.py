@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from vexel.plans.storage import materialise
+from vexel.plans.storage import bounded_batches, materialise
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of word beginnings that are features.
@@ -174,19 +174,21 @@ def is_held_out(key: Column, folds: int = 5) -> Column:
 
 
 def learning_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(text, toxic) of at most max_rows labelled documents out of the held-out fold, near copies counted once.
+    """(text, toxic) of the documents of at most max_rows labelled keys out of the held-out fold, near copies counted once.
 
-    The sample is the labelled keys of smallest hash, so its broadcast has max_rows rows at most.
+    The sample is the labelled keys of smallest hash, so its broadcast has max_rows rows at most. Rows that repeat a key
+    give its smallest text, so there are no more rows than keys.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max("toxic").alias("toxic"))
     chosen = known.where(~is_held_out(F.col(key))).orderBy(F.xxhash64(key), key).limit(max_rows)
     rows = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).join(F.broadcast(chosen.select(F.col(key).alias("k"), "toxic")), "k")
+    rows = rows.groupBy("k", "toxic").agg(F.min("t").alias("t"))
 
     def sketch(texts: pa.Array) -> pa.Array:
         """The smallest hash of five words: equal for most near copies."""
         out = []
-        for t in texts.to_pylist():
-            w = words_of(t)
+        for t in texts:
+            w = words_of(t.as_py())
             out.append(min(xxh64_intdigest(" ".join(w[i : i + 5])) for i in range(max(1, len(w) - 4))) >> 1)
         return pa.array(out, pa.int64())
 
@@ -200,8 +202,8 @@ def _counts(rows: DataFrame, only: frozenset[str] | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
         for b in batches:
-            for t in b.column(0).to_pylist():
-                own = {f for w in set(words_of(t)) for f in features_of(w)}
+            for t in b.column(0):
+                own = {f for w in set(words_of(t.as_py())) for f in features_of(w)}
                 seen.update(own if only is None else own & only)
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["feature", "n"])
 
@@ -235,8 +237,8 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, key: str
         scores: Counter[float] = Counter()
         n = 0
         for b in batches:
-            for t in b.column(0).to_pylist():
-                w = words_of(t)
+            for t in b.column(0):
+                w = words_of(t.as_py())
                 n += len(w)
                 scores.update(round(s, 6) for s in map(first._scores.__getitem__, w) if s > 0)
         scores[0.0] = n - sum(scores.values())
@@ -255,20 +257,20 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, key: str
 
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = [second.evidence(t) for t in b.column(0).to_pylist()]
+            x = [second.evidence(t.as_py()) for t in b.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([v[i] for v in x], pa.float64()) for i in range(3)] + [b.column(1)], ["a", "b", "c", "y"])
 
     fit = rows.select("t", "toxic").mapInArrow(evidence, "a double, b double, c double, y int").toPandas().sort_values(["a", "b", "c", "y"])
     return Model(weights, lam, log_k, _logistic(fit[["a", "b", "c"]].to_numpy(), fit["y"].to_numpy(float)))
 
 
-def with_score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
-    """docs with one more column. Only the text goes to Python, in batches; whole texts are scanned."""
+def score_of(text: Column, model: Model) -> Column:
+    """The score of each text. Only the text goes to Python, in batches; whole texts are scanned."""
 
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([model.score(t) for t in texts.to_pylist()], pa.float64())
+        return pa.array([model.score(t.as_py()) for t in texts], pa.float64())
 
-    return docs.withColumn(name, F.arrow_udf(run, "double")(F.col(f"`{text}`")))
+    return F.arrow_udf(run, "double")(text)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -279,9 +281,10 @@ def score_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id", tex
     if one does; null labels are ignored. Empty tables: no rows, or without labels the prior share. Columns of the
     same names as those made here are not read.
     """
+    bounded_batches(docs.sparkSession)
     model = learn(docs, labels, key=key, text=text)
     rows = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"))
-    scored = with_score(rows, model, "t").select(F.col("k").alias(key), is_held_out(F.col("k")).alias("held_out"), "score")
+    scored = rows.select(F.col("k").alias(key), is_held_out(F.col("k")).alias("held_out"), score_of(F.col("t"), model).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
@@ -305,6 +308,10 @@ def passages_of(docs: DataFrame, model: Model, key: str = "doc_id", text: str =
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs whose score is under threshold, with their own columns only."""
-    model = learn(docs, labels)
-    return with_score(docs, model, name="__toxicity").where(F.col("__toxicity") < threshold).drop("__toxicity")
+    """The rows of docs whose score is under threshold, with their own columns of any names.
+
+    Null and empty texts are scored like texts without evidence, null keys are rows like others, and repeated rows stay or
+    go together. Empty table: no rows. Without labels, the prior share decides.
+    """
+    bounded_batches(docs.sparkSession)
+    return docs.where(score_of(F.col("text"), learn(docs, labels)) < threshold)
