@@ -1,7 +1,9 @@
 import itertools
+import math
 import random
 import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from vexel.llm import toxicity as tx
@@ -66,3 +68,53 @@ def test_passages(spark):
     docs = spark.createDataFrame([(7, "calm " * 20 + "you idiot and scum here " + "calm " * 20), (8, None)], "doc_id long, text string")
     got = tx.passages_of(docs, m).collect()
     assert [(r.doc_id, r.first, r.last, r.passage) for r in got] == [(7, 21, 23, "idiot and scum")]
+
+
+def test_scores_equal_brute_force(spark):
+    """Weights, extreme-value constants, evidence and score, each from its definition; the fit is where its gradient is 0."""
+    rnd = random.Random(9)
+    bad, calm = ["idiot", "idiotic", "scum", "vermin", "trash"], [f"w{chr(97 + i)}{chr(97 + j)}rd" for i in range(8) for j in range(8)]
+    rows, labels = [], []
+    for i in range(400):
+        toxic = i % 3 == 0
+        words = [rnd.choice(bad) if rnd.random() < (0.3 if toxic else 0.01) else rnd.choice(calm) for _ in range(rnd.randint(6, 22))]
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    known = spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = tx.learn(docs, known)
+
+    seen = [(t.split(), y) for (i, t), (_, y) in zip(rows, labels, strict=True) if zlib.crc32(str(i).encode()) % 5]
+    assert len({" ".join(w[:5]) for w, _ in seen}) > 300  # no near copies among them
+    has = lambda f, w: any(x == f[1:] if f[0] == "=" else x.startswith(f[1:]) and len(x) >= len(f) - 1 for x in w)
+    n1, n0 = sum(y for _, y in seen), sum(1 - y for _, y in seen)
+    weights = {}
+    for f in {f for w, _ in seen for x in w for f in ["=" + x, *("^" + x[:k] for k in (4, 5, 6) if len(x) >= k)]}:
+        y1, y0 = sum(has(f, w) for w, y in seen if y), sum(has(f, w) for w, y in seen if not y)
+        prior = 0.5 + 10 * (y1 + y0) / (n1 + n0)
+        a, b = y1 + prior, y0 + prior
+        odds = math.log(a / (n1 + 2 * prior - y1) / b * (n0 + 2 * prior - y0))
+        if y1 >= 3 and odds >= 1 and odds / math.sqrt(1 / a + 1 / b) > 3.3:
+            weights[f] = odds
+    assert weights and model.weights.keys() == weights.keys() and all(abs(model.weights[f] - x) < 1e-9 for f, x in weights.items())
+
+    score = lambda x: max((s for f, s in weights.items() if has(f, [x])), default=0.0)
+    clean = [score(x) for w, y in seen if not y for x in w]
+    total, up = len(clean) + 1, [s for s in clean if s > 0]
+    excess = sum(math.exp(model.lam * s) for s in up) / total + (len(clean) - len(up)) / total * math.exp(-model.lam * 0.5) - 1
+    assert up and abs(excess) < 1e-4
+    assert abs(model.log_k - (math.log(len(up) / total) + model.lam * min(up))) < 1e-4
+
+    def evidence(words):
+        found = [s for s, _, _ in brute([score(x) or -0.5 for x in words])]
+        bits = [model.lam * s - model.log_k - math.log(len(words)) for s in found]
+        return [math.log1p(max([0.0, *bits])), math.log1p(sum(x for x in bits if x > -math.log(0.05))), math.log1p(sum(found))]
+
+    x = np.array([[1.0, *evidence(w)] for w, _ in seen])
+    p = 1 / (1 + np.exp(-x @ np.array(model.beta)))
+    slope = x.T @ (np.array([y for _, y in seen]) - p) - np.array([1e-6, 0.05, 0.05, 0.05]) * model.beta
+    assert np.abs(slope).max() < 1e-3
+    got = {r.doc_id: r.score for r in tx.score_documents(docs, known).collect()}
+    for i, t in rows:
+        z = model.beta[0] + float(np.dot(model.beta[1:], evidence(t.split())))
+        assert abs(got[i] - 1 / (1 + math.exp(-z))) < 1e-6
