@@ -102,6 +102,8 @@ def test_numbers_are_dense_in_order(spark):
     assert [(r.v, r.i) for r in got] == sorted((v, i) for i, v in enumerate(values))
     assert [r.n for r in got] == list(range(3, 3 + len(values)))
     assert numbered(df.limit(0), "v").count() == 0
+    texts = spark.createDataFrame([(w,) for w in ("b", "a", "é", "", "aa", None, "Z")], "v string").repartition(3)
+    assert [r.v for r in numbered(texts, "v").orderBy("slot").collect()] == [None, "", "Z", "a", "aa", "b", "é"]
     one = numbered(spark.createDataFrame([(None,), (None,)], "v long"), "v").collect()
     assert sorted(r.slot for r in one) == [0, 1]
 

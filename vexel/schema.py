@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from vexel.plans.storage import materialise
+
 METRICS = ("cosine", "l2")
-#: Ranges of about equal size that rows are numbered in.
-RANGES = 256
 
 VECTORS = T.StructType(
     [
@@ -82,15 +82,11 @@ def vector_table(rows: DataFrame, dim: int | None = None, order: str = "id", sta
 def numbered(rows: DataFrame, *order: str, name: str = "slot", start: int = 0) -> DataFrame:
     """rows with dense numbers from start in the given order, which should be total.
 
-    Rows are dealt into ranges between approximate quantiles of the first order column, however it is distributed,
-    counted, and numbered inside their range.
+    Rows are dealt into ranges of the order, of whatever type its columns are, and written once; they are counted there
+    and numbered inside their range.
     """
-    key = F.col(order[0]).cast("double")
-    places = ", ".join(f"{i / RANGES}D" for i in range(1, RANGES))
-    splits = rows.select(key.alias("__key")).agg(F.expr(f"percentile_approx(__key, array({places}), {10 * RANGES})").alias("__splits"))
-    part = F.size(F.filter("__splits", lambda x: x < F.col(order[0]).cast("double")))
-    dealt = rows.crossJoin(F.broadcast(splits)).withColumn("__part", F.when(key.isNull(), F.lit(-1)).otherwise(part)).drop("__splits")  # splits is one row
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # over RANGES + 1 counts at most
+    dealt = materialise(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "numbered")
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # over one count a range
     starts = dealt.groupBy("__part").agg(F.count("*").alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
     inside = Window.partitionBy("__part").orderBy(*order)
     out = dealt.withColumn("__nth", F.row_number().over(inside)).join(F.broadcast(starts), "__part")
