@@ -199,3 +199,7 @@ def test_command(spark, tmp_path, capsys):
     assert "| ivf | 4 |" in out and "| graph | 20 |" in out and "| exact |" in out
     np.save(tmp_path / "e.npy", np.random.default_rng(1).standard_normal((200, 8)).astype("f4"))
     assert cli.main(["bench", f"--embeddings={tmp_path}/e.npy", f"--queries={tmp_path}/e.npy", "--k=1", "--cells=2", "--methods", "ivf"], spark) == 0
+    capsys.readouterr()
+    assert cli.main(["kernels", "--n", "200", "--dims", "8"], spark) == 0
+    out = capsys.readouterr().out
+    assert "| cosine | 8 |" in out and "| blocks l2 | 8 |" in out

@@ -188,7 +188,8 @@ class GraphIndex:
             if front.isEmpty():
                 return beam
             fresh = front.join(links, "src").select("qid", F.col("dst").alias("slot")).distinct().join(seen, ["qid", "slot"], "left_anti")
-            fresh = materialise(self._scored(asked, fresh), "graph-fresh")
+            # written first: the planner then knows whether it is small enough to be sent to the nodes, which stay where they are
+            fresh = materialise(self._scored(asked, materialise(fresh, "graph-pairs")), "graph-fresh")
             seen = materialise(seen.unionByName(fresh.select("qid", "slot")), "graph-seen")
             grown = beam.withColumn("expanded", F.lit(True)).unionByName(fresh.withColumn("expanded", F.lit(False)))
             beam = materialise(grown.withColumn("n", F.row_number().over(order)).where(F.col("n") <= ef).drop("n"), "graph-beam")
