@@ -52,12 +52,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
+def materialise(df: DataFrame, name: str, compression: str | None = None, folders: str | None = None) -> DataFrame:
     """Write df to a table in the shared folder and read it again: lineage is cut, and a lost executor costs
-    no recomputation of what lies before."""
+    no recomputation of what lies before. folders names a column by whose values the table is laid in folders."""
     spark, path = df.sparkSession, shared_path(df.sparkSession, name)
     schema = df.schema
-    df.write.parquet(path, compression=compression)
+    df.write.parquet(path, compression=compression, partitionBy=folders)
     table = spark.read.schema(schema).parquet(path)
     _tables[table] = path
     return table
