@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from vexel.llm.components import rows_of
-from vexel.plans.storage import materialise, shared_path, written_at
+from vexel.plans.storage import discard, materialise, shared_path, written_at
 
 #: State on disk. Files aren't allocated ahead, as each of many small stores would hold room for large ones; a process's
 #: stores share one bounded memory, and a store is closed when its batch is written.
@@ -111,7 +111,9 @@ def group(docs: DataFrame, digest: Callable[[Column], Column] | None = None, key
         state = materialise(latest_state(spark, f"{path}/states", lines.schema["id"].dataType.simpleString()), "dedup-kept")
         mixed = materialise(_mixed(lines, state.where("group_size > 1"), broadcast_rows), "dedup-mixed")
         if mixed.isEmpty():
-            return lines.drop("t").join(state, "digest")
+            whole = materialise(lines.drop("t").join(state, "digest"), "dedup-groups")
+            discard(lines, state, mixed)
+            return whole
         # different texts met under one digest: those digests get a second part
         mark = mixed.select("digest", F.lit(True).alias("mixed"))
         longer = F.when(F.col("mixed"), F.concat("digest", F.lit(":"), F.sha2("t", 512))).otherwise(F.col("digest"))
