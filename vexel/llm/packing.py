@@ -1,8 +1,8 @@
 """Packing token streams into fixed windows by order-preserving dynamic programming.
 
 Documents keep the order in which a partition reads them and form one token stream. A window may end at the end of a
-document (free), at the end of a sentence (SENTENCE_CUT) or, so that no stretch is without a place to cut, at every
-STEP tokens in between (HARD_CUT). The cuts minimise padding plus these truncation penalties, all counted in tokens:
+document (free) or of a sentence (SENTENCE_CUT). Only where a stretch without either is longer than a window may one end
+inside it, at every STEP tokens (HARD_CUT). The cuts minimise padding plus these truncation penalties, all counted in tokens:
 
     cost(j) = penalty(j) + min over i with 0 < p(j) - p(i) <= size of cost(i) + size - (p(j) - p(i))
 
@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from vexel.llm.token_counts import byte_symbols
+from vexel.plans.storage import bounded_batches
 
 SIZE = 2048
 END = 1
@@ -72,18 +73,17 @@ class Encoder:
         ids.append(END)
         return np.array(ids, np.uint32)
 
-    def cuts(self, ids: np.ndarray) -> tuple[list[int], list[int]]:
-        """Places inside and at the end of a document where a window may end, and their penalties."""
+    def cuts(self, ids: np.ndarray, size: int = SIZE) -> tuple[list[int], list[int]]:
+        """Places inside and at the end of a document where a window of size tokens may end, and their penalties."""
         n = len(ids)
         ends = np.flatnonzero(self.ends_sentence[ids[: max(0, n - 2)]]) + 1
         places = np.append(ends, n)
         penalty = np.full(len(places), SENTENCE_CUT)
         penalty[-1] = 0
         gaps = np.diff(places, prepend=0)
-        wide = np.flatnonzero(gaps > STEP)
+        wide = np.flatnonzero(gaps > size)
         if len(wide):
             more = np.concatenate([np.arange(places[k] - gaps[k] + STEP, places[k], STEP) for k in wide])
-            more = more[more < n - 1]
             places = np.concatenate([places, more])
             order = np.argsort(places, kind="stable")
             places, penalty = places[order], np.concatenate([penalty, np.full(len(more), HARD_CUT)])[order]
@@ -139,7 +139,7 @@ class Packer:
 
     def add(self, key: object, text: str | None) -> list[tuple]:
         ids = self.encode.encode(text)
-        places, penalties = self.encode.cuts(ids)
+        places, penalties = self.encode.cuts(ids, self.size)
         self.keys.append(key)
         self.begins.append(self.end)
         self.lengths.append(len(ids))
@@ -205,6 +205,7 @@ def pack(docs: DataFrame, vocabulary: str, size: int = SIZE, key: str = "doc_id"
     """
     if size < 2 or size & (size - 1):
         raise ValueError("size must be a power of two")
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     names = ["k", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
