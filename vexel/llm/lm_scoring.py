@@ -3,20 +3,20 @@
 Every token is predicted from the SIDE tokens on its left and the SIDE on its right: their embeddings feed one tanh
 layer, and a two-level softmax (CLASSES classes of MEMBERS words) gives the token's probability. A document's score is
 the sum of these conditional log-probabilities over all its tokens. Words outside the vocabulary share buckets by
-their hash; the network gives the bucket's probability, and the word's share of the bucket's count in the whole corpus
-makes it the word's.
+their hash; the network gives the bucket's probability, and the share of the word's slot (one of SLOTS, by its hash) in
+the bucket's count in the whole corpus makes it the word's.
 
-Word counts come from every document, and every token of it is a training target in each round; both are gathered by
-shuffles that grow with the corpus. Windows are dealt into shards; each round, every shard trains the current network
-in numpy where it lies, and the shards' networks are averaged by their numbers of windows.
+Texts are cut into tokens once, and a token is its 64-bit hash from there on. Token counts come from every document, and
+every token is a training target once; both are gathered by shuffles that grow with the corpus. Documents are dealt to
+the rounds, and a round's documents into shards; every shard trains the current network in numpy where it lies, and the
+shards' networks are averaged by their numbers of tokens, sixteen at a time.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,18 +24,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from vexel.plans.storage import materialise
+from vexel.plans.storage import bounded_batches, materialise
 
 SIDE = 2
 CLASSES, MEMBERS = 32, 64
-BUCKETS = 256
+BUCKETS, SLOTS = 256, 1 << 20
 DIM, HIDDEN = 16, 32
 #: Windows of a shard, and those of them that are in memory at a time.
 SHARD_WINDOWS, AT_ONCE = 1_000_000, 2_000_000
-ROUNDS = 2
-BATCH, RATE = 512, 0.05
-#: Words that a partition counts before it hands the counts on, and words whose ids a worker remembers.
-COUNTED, MEMO = 500_000, 200_000
+ROUNDS = 3
+BATCH, RATE = 2048, 0.4
+#: Tokens that a partition counts before it hands the counts on, and words whose hashes a worker remembers.
+COUNTED, MEMO = 2_000_000, 200_000
+#: Networks that are added up in one task.
+FAN = 16
 #: Tokens that are scored together.
 TOGETHER = 16_384
 
@@ -45,33 +47,51 @@ PAD = VOCABULARY
 
 Params = dict[str, np.ndarray]
 
-OTHER = pa.list_(pa.struct([("word", pa.string()), ("bucket", pa.int32()), ("times", pa.int64())]))
-
-
 def tokens_of(text: str | None) -> list[str]:
     return TOKEN.findall((text or "").lower())
 
 
-class Ids(dict):
-    """A word's id: its place in the vocabulary, or a bucket after it."""
-
-    def __init__(self, words: list[str]):
-        self.words = words
-        super().__init__({w: i for i, w in enumerate(words)})
-
+class _Hashes(dict):
     def __missing__(self, word: str) -> int:
         if len(self) >= MEMO:
             self.clear()
-            self.update({w: i for i, w in enumerate(self.words)})
-        i = self[word] = VOCABULARY - BUCKETS + xxh64_intdigest(word) % BUCKETS
-        return i
+        h = self[word] = xxh64_intdigest(word)
+        return h
+
+
+_hashes = _Hashes()
+
+
+def hashed(text: str | None) -> np.ndarray:
+    """uint64: the hashes of a text's tokens."""
+    tokens = tokens_of(text)
+    return np.fromiter(map(_hashes.__getitem__, tokens), np.uint64, len(tokens))
+
+
+def bucket_of(h: np.ndarray) -> np.ndarray:
+    return (h % np.uint64(BUCKETS)).astype(np.int64)
 
-    def __reduce__(self):
-        return Ids, (self.words,)
 
-    def of(self, text: str | None) -> np.ndarray:
-        tokens = tokens_of(text)
-        return np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
+def slot_of(h: np.ndarray) -> np.ndarray:
+    """A token's slot; slots of one bucket have numbers alike modulo BUCKETS."""
+    return (h % np.uint64(SLOTS)).astype(np.int64)
+
+
+class Ids:
+    """A token's id: its place in the vocabulary, or a bucket after it. words are hashes, most frequent first."""
+
+    def __init__(self, words: Iterable[int]):
+        own = np.array([int(w) & (1 << 64) - 1 for w in words], np.uint64)
+        self.order = np.argsort(own, kind="stable")
+        self.sorted = own[self.order]
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        out = VOCABULARY - BUCKETS + bucket_of(h)
+        if len(self.sorted):
+            at = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
+            known = self.sorted[at] == h
+            out[known] = self.order[at[known]]
+        return out
 
 
 def place(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,6 +99,11 @@ def place(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids % CLASSES, ids // CLASSES
 
 
+def by_class(cls: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """The order that brings tokens of a class together, and where each class begins, with the end."""
+    return np.argsort(cls.astype(np.uint8), kind="stable"), [0, *np.cumsum(np.bincount(cls, minlength=CLASSES)).tolist()]
+
+
 def contexts(ids: np.ndarray) -> np.ndarray:
     """[token, 2 * SIDE]: the ids around each token, PAD beyond the ends."""
     padded = np.concatenate([np.full(SIDE, PAD), ids, np.full(SIDE, PAD)])
@@ -98,9 +123,24 @@ def fresh(counts: np.ndarray, seed: int = 3) -> Params:
     }
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+def _tanh(z: np.ndarray) -> np.ndarray:
+    """In place, by the exponential, which is the faster of the two."""
+    z *= -2
+    with np.errstate(over="ignore"):
+        np.exp(z, out=z)
+    z += 1
+    np.divide(2, z, out=z)
+    z -= 1
+    return z
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    """Of each row, in place."""
+    if max(z.max(), -z.min()) > 40:  # else neither exp nor its sum leaves the range of single precision
+        z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    z /= (z @ np.ones(z.shape[1], z.dtype))[:, None]
+    return z
 
 
 def _head(weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
@@ -117,7 +157,7 @@ def _chosen(h1: np.ndarray, head: np.ndarray, column: np.ndarray) -> np.ndarray:
     z = h1 @ head
     picked = z[np.arange(len(z)), column].astype(np.float64)
     np.exp(z, out=z)
-    return picked - np.log(z.sum(axis=1))
+    return picked - np.log(z @ np.ones(z.shape[1], z.dtype))
 
 
 def prepared(p: Params) -> Params:
@@ -132,15 +172,14 @@ def log_probs(p: Params, context: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Log-probability of each target given its context; p is prepared here, unless it is already."""
     q = p if "tables" in p else prepared(p)
     cls, member = place(target)
-    order = np.argsort(cls, kind="stable")
-    ends = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+    order, ends = by_class(cls)
     context, cls, member = context[order], cls[order], member[order]
     h1 = np.ones((len(target), HIDDEN + 1), q["b"].dtype)
-    z = q["tables"][0][context[:, 0]]
+    z = np.take(q["tables"][0], context[:, 0], axis=0)
     for k in range(1, 2 * SIDE):
-        z += q["tables"][k][context[:, k]]
+        z += np.take(q["tables"][k], context[:, k], axis=0)
     z += q["b"]
-    np.tanh(z, out=h1[:, :HIDDEN])
+    h1[:, :HIDDEN] = _tanh(z)
     found = _chosen(h1, q["classes"], cls)
     for k in range(CLASSES):
         a, b = ends[k], ends[k + 1]
@@ -151,28 +190,62 @@ def log_probs(p: Params, context: np.ndarray, target: np.ndarray) -> np.ndarray:
     return out
 
 
-def gradients(p: Params, context: np.ndarray, target: np.ndarray) -> Params:
-    """Of the mean negative log-probability."""
-    n = len(target)
-    x = p["E"][context].reshape(n, -1)
-    h = np.tanh(x @ p["W"] + p["b"])
+class Space(dict):
+    """Arrays that are used again and again, by name and shape."""
+
+    def of(self, name: str, *shape: int, like: np.ndarray) -> np.ndarray:
+        key = (name, shape, like.dtype)
+        if key not in self:
+            self[key] = np.empty(shape, like.dtype)
+        return self[key]
+
+
+def gradients(p: Params, context: np.ndarray, target: np.ndarray, space: Space | None = None) -> Params:
+    """Of the mean negative log-probability. The arrays are space's, if one is given."""
+    space = Space() if space is None else space
+    n, E = len(target), p["E"]
     cls, member = place(target)
-    g = {k: np.zeros_like(v) for k, v in p.items()}
-    d = np.exp(_log_softmax(h @ p["A"] + p["a"]))
-    d[np.arange(n), cls] -= 1
-    d /= n
-    g["A"], g["a"] = h.T @ d, d.sum(axis=0)
-    dh = d @ p["A"].T
-    for k in np.unique(cls):
-        rows = np.flatnonzero(cls == k)
-        d = np.exp(_log_softmax(h[rows] @ p["B"][k] + p["c"][k]))
-        d[np.arange(len(rows)), member[rows]] -= 1
-        d /= n
-        g["B"][k], g["c"][k] = h[rows].T @ d, d.sum(axis=0)
-        dh[rows] += d @ p["B"][k].T
-    dz = dh * (1 - h * h)
-    g["W"], g["b"] = x.T @ dz, dz.sum(axis=0)
-    np.add.at(g["E"], context.ravel(), (dz @ p["W"].T).reshape(-1, DIM))
+    order, ends = by_class(cls)
+    context, cls, member = context[order], cls[order], member[order]
+    x = np.take(E, context, axis=0, out=space.of("x", n, 2 * SIDE, DIM, like=E), mode="clip").reshape(n, -1)
+    h = np.matmul(x, p["W"], out=space.of("h", n, HIDDEN, like=E))
+    h += p["b"]
+    _tanh(h)
+    g = {k: space.of(k, *p[k].shape, like=p[k]) for k in p}
+    rows, mean = np.arange(n), np.full(n, 1 / n, h.dtype)
+    d = np.matmul(h, p["A"], out=space.of("d", n, CLASSES, like=E))
+    d += p["a"]
+    _softmax(d)
+    d[rows, cls] -= 1
+    np.matmul(h.T, d, out=g["A"])
+    g["A"] /= n
+    np.matmul(mean, d, out=g["a"])
+    dh = np.matmul(d, p["A"].T, out=space.of("dh", n, HIDDEN, like=E))
+    z = np.take(p["c"], cls, axis=0, out=space.of("z", n, MEMBERS, like=E), mode="clip")
+    parts = [(k, slice(a, b)) for k, (a, b) in enumerate(zip(ends, ends[1:])) if a < b]
+    for k, own in parts:
+        z[own] += h[own] @ p["B"][k]
+    _softmax(z)
+    z[rows, member] -= 1
+    for k, (a, b) in enumerate(zip(ends, ends[1:])):
+        np.matmul(h[a:b].T, z[a:b], out=g["B"][k])
+        np.matmul(mean[a:b], z[a:b], out=g["c"][k])
+        if a < b:
+            dh[a:b] += z[a:b] @ p["B"][k].T
+    g["B"] /= n
+    np.multiply(h, h, out=h)
+    np.subtract(1, h, out=h)
+    h /= n
+    dz = np.multiply(dh, h, out=dh)
+    np.matmul(x.T, dz, out=g["W"])
+    np.matmul(np.ones(n, h.dtype), dz, out=g["b"])
+    dx = np.matmul(dz, p["W"].T, out=x).reshape(-1, DIM)
+    at = context.ravel()
+    order = np.argsort(at.astype(np.uint16), kind="stable")
+    at = at[order]
+    first = np.flatnonzero(np.diff(at, prepend=-1))
+    g["E"].fill(0)
+    g["E"][at[first]] = np.add.reduceat(np.take(dx, order, axis=0, out=space.of("dx", *dx.shape, like=E), mode="clip"), first, axis=0)
     return g
 
 
@@ -180,12 +253,17 @@ def train(p: Params, windows: np.ndarray, seed: int) -> Params:
     """One pass over windows [n, 2 * SIDE + 1] (context, then target) in a seeded order, by Adagrad."""
     p = {k: v.copy() for k, v in p.items()}
     scale = {k: np.full_like(v, 1e-3) for k, v in p.items()}
-    order = np.random.default_rng(seed).permutation(len(windows))
+    step = {k: np.empty_like(v) for k, v in p.items()}
+    order, space = np.random.default_rng(seed).permutation(len(windows)), Space()
     for at in range(0, len(order), BATCH):
         w = windows[order[at : at + BATCH]].astype(np.int64)
-        for k, g in gradients(p, w[:, :-1], w[:, -1]).items():
-            scale[k] += g * g
-            p[k] -= RATE * g / np.sqrt(scale[k])
+        for k, g in gradients(p, w[:, :-1], w[:, -1], space).items():
+            t = np.multiply(g, g, out=step[k])
+            scale[k] += t
+            np.sqrt(scale[k], out=t)
+            np.divide(g, t, out=t)
+            t *= RATE
+            p[k] -= t
     return p
 
 
@@ -201,40 +279,53 @@ def unpack(data: bytes, like: Params) -> Params:
     return out
 
 
+def tokenised(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(k, n, w) per row of docs: the number of tokens, and their hashes as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [hashed(t.as_py()) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(w) for w in own], pa.int64()), pa.array([w.tobytes() for w in own], pa.binary())], ["k", "n", "w"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).mapInArrow(run, f"k {kind}, n long, w binary")
+
+
+def _hashes_of(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), np.uint64) for x in column]
+
+
 def _word_counts(texts: DataFrame) -> DataFrame:
+    """(h, n): how often each token occurs in all texts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[str] = Counter()
+        held, size = [], 0
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+            h, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
         for b in batches:
-            for t in b.column(0):
-                seen.update(tokens_of(t.as_py()))
-                if len(seen) > COUNTED:
+            for w in _hashes_of(b.column(0)):
+                held.append(w)
+                size += len(w)
+                if size >= COUNTED:
                     yield out()
-                    seen.clear()
-        yield out()
+                    held, size = [], 0
+        if size:
+            yield out()
 
-    return texts.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts.select("w").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
 def _targets(texts: DataFrame, ids: Ids) -> DataFrame:
-    """(h, n, w) per document with tokens: a hash that deals it out, the number of tokens, and all their ids in 16 bits."""
+    """(row, n, w) per text with tokens: all their ids in 16 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hs, ns, ws = [], [], []
-            for t in b.column(0):
-                text = t.as_py()
-                own = ids.of(text)
-                if len(own):
-                    hs.append((xxh64_intdigest(text) >> 1) ^ len(own))
-                    ns.append(len(own))
-                    ws.append(own.astype(np.uint16).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(ns, pa.int64()), pa.array(ws, pa.binary())], ["h", "n", "w"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([ids.of(w).astype(np.uint16).tobytes() for w in _hashes_of(b.column(2))], pa.binary())], ["row", "n", "w"])
 
-    return texts.mapInArrow(run, "h long, n long, w binary")
+    return texts.where("n > 0").select("row", "n", "w").mapInArrow(run, "row long, n long, w binary")
 
 
 def windows_of(ids: np.ndarray) -> np.ndarray:
@@ -243,11 +334,12 @@ def windows_of(ids: np.ndarray) -> np.ndarray:
 
 
 def _round(targets: DataFrame, shards: int, p: Params, turn: int) -> Params:
-    """Train p on every shard apart, and average."""
+    """Train p on every shard of targets (row, n, w) apart, and average."""
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "n": [n], "p": [pack(own)]})
+            weighted = np.frombuffer(pack(own), np.float32).astype(np.float64) * n
+            return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "n": [n], "p": [weighted.tobytes()]})
 
         shard, own, n, parts, held = None, p, 0, [], 0
         for b in batches:
@@ -265,79 +357,82 @@ def _round(targets: DataFrame, shards: int, p: Params, turn: int) -> Params:
             yield done()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = None, 0
+        shard, total, n = None, None, 0
         for b in batches:
-            for m, blob in zip(b.column(0), b.column(1), strict=True):
-                x = np.frombuffer(blob.as_py(), np.float32).astype(np.float64) * m.as_py()
-                total, n = x if total is None else total + x, n + m.as_py()
+            for k, m, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                x = np.frombuffer(blob.as_py())
+                shard, total, n = k if shard is None else shard, x if total is None else total + x, n + m
         if total is not None:
-            yield pa.RecordBatch.from_pydict({"n": [n], "p": [total.tobytes()]})
-
-    dealt = targets.select(F.pmod("h", F.lit(shards)).cast("int").alias("shard"), "h", "w").repartition(shards, "shard").sortWithinPartitions("shard", "h", "w")
-    trained = dealt.select("shard", "w").mapInArrow(one, "shard int, n long, p binary")
-    sums = trained.repartition(8, F.pmod("shard", F.lit(8))).sortWithinPartitions("shard").select("n", "p").mapInArrow(add, "n long, p binary").collect()
-    sums = sorted((r.n, bytes(r.p)) for r in sums)
-    total = sum(n for n, _ in sums)
-    mean = sum(np.frombuffer(x, np.float64) for _, x in sums) / total
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "n": [n], "p": [total.tobytes()]})
+
+    # rows of equal texts have numbers of their own, so a text that very many rows share is spread over the shards
+    dealt = targets.select(F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int").alias("shard"), "row", "w").repartitionById(shards, "shard").sortWithinPartitions("shard", "row")
+    sums = dealt.select("shard", "w").mapInArrow(one, "shard int, n long, p binary")
+    while shards > FAN:
+        shards = math.ceil(shards / FAN)
+        sums = sums.repartitionById(shards, F.pmod("shard", F.lit(shards))).sortWithinPartitions("shard").mapInArrow(add, "shard int, n long, p binary")
+    rows = sorted((r.shard, r.n, bytes(r.p)) for r in sums.collect())
+    if not rows:
+        return p
+    mean = sum(np.frombuffer(x) for _, _, x in rows) / sum(n for _, n, _ in rows)
     return unpack(mean.astype(np.float32).tobytes(), p)
 
 
 def learn(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> tuple[Ids, Params]:
-    return learn_counts(docs, text, rounds)[:2]
+    return learn_counts(tokens(docs.select(F.lit(0).alias("k"), F.col(f"`{text}`").alias("t")), "k", "t"), rounds)[:2]
+
 
+def tokens(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """tokenised, with a number for every row, written. Hashes of frequent words compress well."""
+    return materialise(tokenised(docs, key, text).withColumn("row", F.monotonically_increasing_id()), "lm-tokens", "zstd")
 
-def learn_counts(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> tuple[Ids, Params, DataFrame]:
-    """A vocabulary and a network from all documents, and the counts (word, n) of all words. The driver gets VOCABULARY words, and eight sums of the
-    network's size a round."""
-    texts = docs.select(F.col(f"`{text}`").alias("t"))
+
+def learn_counts(texts: DataFrame, rounds: int = ROUNDS) -> tuple[Ids, Params, DataFrame]:
+    """A vocabulary and a network from all texts (row, n, w), and the counts (h, n) of all tokens. The driver gets at most
+    VOCABULARY hashes, and FAN sums of the network's size a round."""
     counts = materialise(_word_counts(texts), "lm-counts")
-    top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY - BUCKETS).collect()
-    ids = Ids([r.word for r in top])
-    rest = (counts.agg(F.sum("n")).first()[0] or 0) - sum(r.n for r in top)
+    top = counts.orderBy(F.desc("n"), "h").limit(VOCABULARY - BUCKETS).collect()
+    ids = Ids([r.h for r in top])
+    n = texts.agg(F.sum("n")).first()[0] or 0
     frequency = np.zeros(VOCABULARY)
     frequency[: len(top)] = [r.n for r in top]
-    frequency[-BUCKETS:] = rest / BUCKETS
+    frequency[-BUCKETS:] = (n - sum(r.n for r in top)) / BUCKETS
     p = fresh(frequency)
-    targets = materialise(_targets(texts, ids), "lm-targets")
-    n = targets.agg(F.sum("n")).first()[0] or 0
     for turn in range(rounds if n else 0):
-        p = _round(targets, math.ceil(n / SHARD_WINDOWS), p, turn)
+        part = texts.where(F.pmod(F.xxhash64("row", F.lit(1)), F.lit(rounds)) == turn)
+        p = _round(_targets(part, ids), math.ceil(n / rounds / SHARD_WINDOWS), p, turn)
     return ids, p, counts
 
 
-def shares(counts: DataFrame, ids: Ids) -> tuple[DataFrame, list[float]]:
-    """(word, share) of the words outside the vocabulary, share being the log of a word's part of its bucket, and that
-    of an unseen word in each bucket; unseen words count as one."""
-    known = set(ids.words)
+def shares(counts: DataFrame, ids: Ids) -> np.ndarray:
+    """Of each slot, the log of its part of its bucket's count outside the vocabulary; a slot without tokens counts as
+    one. What the driver gets is SLOTS counts at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words = b.column(0).to_pylist()
-            rest = [i for i, w in enumerate(words) if w not in known]
-            own = [xxh64_intdigest(words[i]) % BUCKETS for i in rest]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rest, pa.int64())), b.column(1).take(pa.array(rest, pa.int64())), pa.array(own, pa.int32())], ["word", "n", "bucket"])
+            h = b.column(0).to_numpy().view(np.uint64)
+            rest = ids.of(h) >= VOCABULARY - BUCKETS
+            yield pa.RecordBatch.from_arrays([pa.array(slot_of(h[rest]).astype(np.int32)), b.column(1).filter(pa.array(rest))], ["slot", "n"])
 
-    other = materialise(counts.select("word", "n").mapInArrow(run, "word string, n long, bucket int"), "lm-other")
-    total = dict(other.groupBy("bucket").agg(F.sum("n")).collect())
-    floors = [-math.log(total.get(k, 0) + 1) for k in range(BUCKETS)]
-    return other.select("word", (F.log("n") + F.element_at(F.array(*[F.lit(x) for x in floors]), F.col("bucket") + 1)).alias("share")), floors
+    rows = counts.select("h", "n").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    own = np.zeros(SLOTS)
+    own[rows["slot"].to_numpy()] = rows["n"].to_numpy()
+    bucket = np.arange(SLOTS) % BUCKETS
+    return (np.log(np.maximum(own, 1)) - np.log(np.bincount(bucket, own, BUCKETS) + 1)[bucket]).astype(np.float32)
 
 
-def score(docs: DataFrame, ids: Ids, p: Params, key: str = "doc_id", text: str = "text", counts: DataFrame | None = None) -> DataFrame:
-    """key, n_tokens, log_likelihood (of all tokens) and mean_log_prob per row of docs. Without counts (word, n), a word
+def score(texts: DataFrame, ids: Ids, p: Params, share: np.ndarray | None = None) -> DataFrame:
+    """k, n_tokens, log_likelihood (of all tokens) and mean_log_prob per row of texts (k, n, w). Without share, a token
     outside the vocabulary has its bucket's probability."""
-    apart = counts is not None
-    shared = docs.sparkSession.sparkContext.broadcast(pack(p))  # of the network's fixed size
+    shared = texts.sparkSession.sparkContext.broadcast((pack(p), share))  # of fixed sizes
     like = {k: np.empty(v.shape, np.float32) for k, v in p.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = prepared(unpack(shared.value, like))
+        data, share = shared.value
+        net = prepared(unpack(data, like))
         for b in batches:
-            texts = [t.as_py() for t in b.column(1)]
-            rows = [ids.of(t) for t in texts]
-            others = [list(Counter((w, i - VOCABULARY + BUCKETS) for w, i in zip(tokens_of(t), r.tolist(), strict=True) if i >= VOCABULARY - BUCKETS).items()) if apart else [] for t, r in zip(texts, rows, strict=True)]
-            other = pa.array([[{"word": w, "bucket": k, "times": n} for (w, k), n in o] for o in others], OTHER)
-            sizes = np.array([len(r) for r in rows], np.int64)
+            rows = _hashes_of(b.column(2))
+            sizes = b.column(1).to_numpy()
             sums = np.zeros(len(rows))
             first = 0
             while first < len(rows):  # documents together, or a part of a long one at a time
@@ -345,26 +440,22 @@ def score(docs: DataFrame, ids: Ids, p: Params, key: str = "doc_id", text: str =
                 while last < len(rows) and (last == first or n + sizes[last] <= TOGETHER):
                     n += int(sizes[last])
                     last += 1
-                target = np.concatenate(rows[first:last])
-                context = np.concatenate([contexts(r) for r in rows[first:last]])
-                found = [log_probs(net, context[a : a + TOGETHER], target[a : a + TOGETHER]) for a in range(0, n, TOGETHER)]
-                owner = np.repeat(np.arange(last - first), sizes[first:last])
-                if found:
-                    sums[first:last] = np.bincount(owner, np.concatenate(found), last - first)
+                h = np.concatenate(rows[first:last])
+                target = ids.of(h)
+                bounds = np.cumsum([0, *sizes[first:last]])
+                context = np.concatenate([contexts(target[a:z]) for a, z in zip(bounds, bounds[1:], strict=False)])
+                found = np.concatenate([np.empty(0), *(log_probs(net, context[a : a + TOGETHER], target[a : a + TOGETHER]) for a in range(0, n, TOGETHER))])
+                if share is not None:
+                    rest = target >= VOCABULARY - BUCKETS
+                    found[rest] += share[slot_of(h[rest])]
+                sums[first:last] = np.bincount(np.repeat(np.arange(last - first), sizes[first:last]), found, last - first)
                 first = last
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), pa.array(sums), other], ["k", "n_tokens", "log_likelihood", "other"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sums)], ["k", "n_tokens", "log_likelihood"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    out = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).mapInArrow(run, f"k {kind}, n_tokens long, log_likelihood double, other array<struct<word: string, bucket: int, times: long>>")
-    if apart:
-        out = materialise(out.withColumn("row", F.monotonically_increasing_id()), "lm-scored")
-        share, floors = shares(counts, ids)
-        floor = F.element_at(F.array(*[F.lit(x) for x in floors]), F.col("bucket") + 1)
-        met = out.select("row", F.inline("other")).join(share, "word", "left")
-        more = met.groupBy("row").agg(F.sum(F.col("times") * F.coalesce("share", floor)).alias("more"))
-        out = out.join(more, "row", "left").withColumn("log_likelihood", F.col("log_likelihood") + F.coalesce("more", F.lit(0.0)))
+    kind = texts.schema["k"].dataType.simpleString()
+    out = texts.select("k", "n", "w").mapInArrow(run, f"k {kind}, n_tokens long, log_likelihood double")
     mean = F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens"))
-    return out.select(F.col("k").alias(key), "n_tokens", "log_likelihood", mean.alias("mean_log_prob"))
+    return out.withColumn("mean_log_prob", mean)
 
 
 def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -374,5 +465,7 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     others. Whole texts of any length are scored, a part at a time. Empty table: no rows. Columns other than key and
     text are not read.
     """
-    ids, p, counts = learn_counts(docs, text)
-    return score(docs, ids, p, key, text, counts)
+    bounded_batches(docs.sparkSession)
+    texts = tokens(docs, key, text)
+    ids, p, counts = learn_counts(texts)
+    return score(texts, ids, p, shares(counts, ids)).withColumnRenamed("k", key)
