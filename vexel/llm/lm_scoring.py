@@ -29,7 +29,7 @@ from vexel.plans.storage import bounded_batches, materialise
 SIDE = 2
 CLASSES, MEMBERS = 32, 64
 BUCKETS, SLOTS = 256, 1 << 20
-DIM, HIDDEN = 16, 32
+DIM, HIDDEN = 8, 32
 #: Windows of a shard, and those of them that are in memory at a time.
 SHARD_WINDOWS, AT_ONCE = 1_000_000, 2_000_000
 ROUNDS = 3
@@ -379,16 +379,17 @@ def _round(targets: DataFrame, shards: int, p: Params, turn: int) -> Params:
 
 
 def learn(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> tuple[Ids, Params]:
-    return learn_counts(tokens(docs.select(F.lit(0).alias("k"), F.col(f"`{text}`").alias("t")), "k", "t"), rounds)[:2]
+    return learn_counts(tokens(docs.select(F.lit(0).alias("k"), F.col(f"`{text}`").alias("t")), "k", "t", rounds), rounds)[:2]
 
 
-def tokens(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """tokenised, with a number for every row, written. Hashes of frequent words compress well."""
-    return materialise(tokenised(docs, key, text).withColumn("row", F.monotonically_increasing_id()), "lm-tokens", "zstd")
+def tokens(docs: DataFrame, key: str, text: str, rounds: int = ROUNDS) -> DataFrame:
+    """tokenised, with a number and a round for every row, written by rounds. Hashes of frequent words compress well."""
+    rows = tokenised(docs, key, text).withColumn("row", F.monotonically_increasing_id())
+    return materialise(rows.withColumn("part", F.pmod(F.xxhash64("row", F.lit(1)), F.lit(rounds)).cast("int")), "lm-tokens", "zstd", "part")
 
 
 def learn_counts(texts: DataFrame, rounds: int = ROUNDS) -> tuple[Ids, Params, DataFrame]:
-    """A vocabulary and a network from all texts (row, n, w), and the counts (h, n) of all tokens. The driver gets at most
+    """A vocabulary and a network from all texts (row, n, w, part), and the counts (h, n) of all tokens. The driver gets at most
     VOCABULARY hashes, and FAN sums of the network's size a round."""
     counts = materialise(_word_counts(texts), "lm-counts")
     top = counts.orderBy(F.desc("n"), "h").limit(VOCABULARY - BUCKETS).collect()
@@ -399,8 +400,7 @@ def learn_counts(texts: DataFrame, rounds: int = ROUNDS) -> tuple[Ids, Params, D
     frequency[-BUCKETS:] = (n - sum(r.n for r in top)) / BUCKETS
     p = fresh(frequency)
     for turn in range(rounds if n else 0):
-        part = texts.where(F.pmod(F.xxhash64("row", F.lit(1)), F.lit(rounds)) == turn)
-        p = _round(_targets(part, ids), math.ceil(n / rounds / SHARD_WINDOWS), p, turn)
+        p = _round(_targets(texts.where(F.col("part") == turn), ids), math.ceil(n / rounds / SHARD_WINDOWS), p, turn)
     return ids, p, counts
 
 
