@@ -47,13 +47,15 @@ def top(s: np.ndarray, slots: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarra
 
 
 def block_topk(data: DataFrame, queries: DataFrame, k: int, metric: str, partitions: int) -> DataFrame:
-    """(qid, slot, id, score) with at most k rows per query and block; data has block, slot, id, v and queries block, qid, v."""
+    """(qid, slot, id, score) with at most k rows per query and block; data has block, slot, id, v and queries block, qid, v;
+    blocks are numbered under partitions."""
     if k == 0:
         return data.sparkSession.createDataFrame([], "qid long, slot long, id long, score double")
     v = F.col("v").cast("array<double>").alias("v")
     rows = data.select("block", F.lit(0).alias("kind"), F.col("slot").alias("key"), F.col("id").cast("long").alias("id"), v).where("v is not null")
     asked = queries.select("block", F.lit(1).alias("kind"), F.col("qid").alias("key"), F.lit(None).cast("long").alias("id"), v).where("v is not null")
-    dealt = rows.unionByName(asked).repartition(partitions, "block").sortWithinPartitions("block", "kind", "key")
+    # a block is a partition: hashing their numbers would put several into one
+    dealt = rows.unionByName(asked).repartitionById(partitions, "block").sortWithinPartitions("block", "kind", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, held, x, norm, slots, ids = None, [], None, None, None, None
