@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import heapq
 import json
-import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,9 +22,6 @@ from tokenizers import Tokenizer
 
 from vexel.plans.storage import bounded_batches
 
-#: Lower case is by single characters, so the capital sigma has no final form.
-SIGMA = str.maketrans({"Σ": "σ"})
-
 #: Words whose counts a worker remembers.
 MEMO = 600_000
 #: Longest word that is remembered, in characters.
@@ -40,19 +36,6 @@ def byte_symbols() -> list[str]:
     return [chr(b if b in visible else next(spare)) for b in range(256)]
 
 
-@lru_cache(maxsize=1)
-def unassigned() -> re.Pattern[str]:
-    """A character that Python's tables don't know. Pattern engines differ on the class and case of these."""
-    ranges: list[list[int]] = []
-    for c in range(0x110000):
-        if unicodedata.category(chr(c)) == "Cn":
-            if ranges and ranges[-1][1] == c - 1:
-                ranges[-1][1] = c
-            else:
-                ranges.append([c, c])
-    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) + "]")
-
-
 class MergeCounter:
     """Counts tokens as the vocabulary file's own library does, for its one family: canonical composition, runs of
     white space as one space, lower case, words by pattern, bytes as symbols, a suffix on a word's last symbol."""
@@ -75,6 +58,7 @@ class MergeCounter:
         self.symbol = byte_symbols()
         self.library: Tokenizer | None = None
         self.memo: dict[str, int] = {}
+        self.known: set[str] = set()  # characters that were met, all of them in Python's tables
 
     def symbols(self, word: str) -> list[str]:
         return [self.symbol[b] for b in word.encode("utf-8", "surrogatepass")]
@@ -105,13 +89,21 @@ class MergeCounter:
                 heapq.heappush(heap, (r, h, parts[h], parts[i]))
         return n - merges
 
+    def _assigned(self, text: str) -> bool:
+        """Whether Python's tables know every character; pattern engines differ on the class and case of others."""
+        new = set(text) - self.known
+        if any(unicodedata.category(c) == "Cn" for c in new):
+            return False
+        self.known |= new
+        return True
+
     def _plain(self, text: str) -> int:
         if not text.isascii():
-            if unassigned().search(text):
+            if not self._assigned(text):
                 library = self.library = self.library or Tokenizer.from_file(self.path)  # its tables alone say where such words end
                 split = library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(text))
                 return sum(self.merged(list(w)) for w, _ in split)
-            text = unicodedata.normalize("NFC", text).translate(SIGMA)
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower case is by single characters: no final form
         memo, total = self.memo, 0
         words = self.words.findall(text.lower())
         for w, n in zip(words, map(memo.get, words)):
