@@ -31,6 +31,20 @@ def test_recall_and_scores(spark):
         assert all(abs(exact[v] - s) < 1e-12 for v, s in rows) and rows == sorted(rows, key=lambda x: (-x[1], x[0]))
 
 
+def test_few_rows_are_verified(spark):
+    """Collisions rule out nine rows of ten and more, at the shape of the table and on isotropic vectors."""
+    pdf = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").toPandas()
+    rng = np.random.default_rng(6)
+    for ids, x, every in ((pdf.vec_id.to_numpy(), np.stack(pdf.embedding).astype(float), 50), (np.arange(8000), rng.standard_normal((8000, 64)), 200)):
+        want, asked = brute(ids, x, 5, every), np.flatnonzero(ids % every == 0)
+        index = ann.BlockIndex(ids, x)
+        got = {q: set(found.tolist()) for q, found, _ in index.search(ids[asked], x[asked], 5)}
+        recall = np.mean([len(got[q] & {a for a, _ in want[q]}) / 5 for q in want])
+        share = index.verified / (len(asked) * len(ids))
+        print("recall", recall, "verified", share)
+        assert recall >= 0.9 and share < 0.1
+
+
 def brute_all(pdf, q):
     x = np.stack(pdf.embedding).astype(float)
     n = np.sqrt((x * x).sum(axis=1))
