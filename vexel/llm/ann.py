@@ -1,11 +1,13 @@
 """Approximate nearest neighbours by collision counting on query-centred windows.
 
 Vectors are scaled to length 1, where cosine and Euclidean order agree. PROJECTIONS random directions give each block
-of rows as many sorted arrays of single projections. A query's window in every array is centred on its own projection
-and grows with the search radius R (virtual rehashing: no array is rebuilt). Two vectors at distance d share a window
-of half-width HALF * R with probability 2 Phi(HALF * R / d) - 1, so rows at R collide in 89 % of the arrays and rows
-at 1.25 R in 80 %. Rows whose collisions reach THRESHOLD are verified by the exact measure on the original vectors. A query
-is done when its k-th best verified row lies within R; R grows by GROWTH until then (Huang et al. 2015).
+of rows as many arrays of single projections, kept as the quantile (one of 256) each row lies in. A query's window in
+every array is centred on its own projection and grows with the search radius R (virtual rehashing: no array is
+rebuilt); its ends are moved to the nearest ends of quantiles, and its centre's quantile always belongs to it. Two vectors at distance d share a window of half-width HALF * R
+with probability 2 Phi(HALF * R / d) - 1, so rows at R collide in 89 % of the arrays and rows at 1.25 R in 80 %. Rows
+whose collisions reach THRESHOLD are verified by the exact measure on the original vectors. A query is done when its
+k-th best verified row lies within R (Huang et al. 2015). Radii are FIRST_RADIUS times powers of GROWTH. Windows only grow,
+so smaller radii can be left out without losing a row: a query begins a step below where most others of its block ended.
 
 Rows are dealt into blocks by hashed identifier; each block is indexed where it lies, wholly, and every query visits
 every block, in batches. There is no cap on collisions or candidates: a very common vector is verified row by row.
@@ -14,6 +16,7 @@ every block, in batches. There is no cap on collisions or candidates: a very com
 from __future__ import annotations
 
 import math
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +32,12 @@ FIRST_RADIUS = 0.06
 GROWTH = 1.05
 #: Rows of a block at most (on average), and at least where a small table is split for parallel work.
 BLOCK_ROWS, LEAST_ROWS = 131_072, 2048
-#: Counters that are held at once: queries of a batch times rows of a block.
+#: Marks of verified rows that are held at once: queries of a batch times rows of a block.
 COUNTERS = 4_000_000
+#: Rows and projections that are counted together, so that they stay in a core's cache.
+ROWS_AT_ONCE, AXES_AT_ONCE = 8192, 32
+#: Queries whose radii tell where the next one begins.
+RECENT = 32
 SEED = 7
 
 
@@ -39,46 +46,95 @@ def cosines(rows: np.ndarray, norms: np.ndarray, q: np.ndarray, q_norm: float) -
     return (rows * q).sum(axis=1) / (norms * q_norm)
 
 
+def radius_of(step: int) -> float:
+    return FIRST_RADIUS * GROWTH**step
+
+
+def step_of(distance: float) -> int:
+    """The first step whose radius is at least distance."""
+    step = max(0, math.ceil(math.log(max(distance, FIRST_RADIUS) / FIRST_RADIUS, GROWTH)) - 1)
+    while radius_of(step) < distance:
+        step += 1
+    return step
+
+
+#: The first radius of 2 or more: no two unit vectors are further apart, so whatever is left is verified.
+LAST = step_of(2.0)
+
+
 class BlockIndex:
-    """Sorted single-projection arrays of one block."""
+    """Single projections of one block, by quantile."""
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
         self.ids, self.rows = ids, rows
         self.verified = 0  # rows that exact scores were computed for, over all queries
         self.norms = np.sqrt((rows * rows).sum(axis=1))
         self.axes = np.random.default_rng(SEED).standard_normal((PROJECTIONS, rows.shape[1]))
-        p = (rows / self.norms[:, None]) @ self.axes.T
-        self.order = np.argsort(p, axis=0, kind="stable").T.astype(np.int32, order="C")
-        self.sorted = np.ascontiguousarray(np.take_along_axis(p, self.order.T.astype(np.int64), axis=0).T)
+        n = len(rows)
+        unit = rows / self.norms[:, None]
+        self.edges = np.empty((PROJECTIONS, 511))  # of quantiles and, at even places, of their halves
+        self.by_row = np.empty((n, PROJECTIONS), np.uint8)
+        for j in range(0, PROJECTIONS, AXES_AT_ONCE):
+            p = np.ascontiguousarray((unit @ self.axes[j : j + AXES_AT_ONCE].T).T)
+            self.edges[j : j + AXES_AT_ONCE] = np.sort(p, axis=1)[:, np.arange(1, 512) * n // 512]
+            for i, own in enumerate(p, j):
+                self.by_row[:, i] = self._half(i, own) >> 1
+        self.parts = [(at, np.ascontiguousarray(self.by_row[at : at + ROWS_AT_ONCE].T)) for at in range(0, n, ROWS_AT_ONCE)]
+        self.recent: deque[int] = deque(maxlen=RECENT)
+
+    def _half(self, j: int, p: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.edges[j], p, side="right")
+
+    def _windows(self, centre: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of queries [query, axis]: the first quantile of each window, and how many follow."""
+        low, mid, high = (np.stack([self._half(j, p[:, j]) for j in range(PROJECTIONS)], axis=1) for p in (centre - reach, centre, centre + reach))
+        low, high = np.minimum(low + 1, mid) >> 1, np.maximum(high - 1, mid) >> 1
+        return low.astype(np.uint8), (high - low).astype(np.uint8)
 
     def search(self, q_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For each query its id, and the ids and scores of its k nearest found here, its own id left out."""
-        step = max(1, COUNTERS // len(self.ids))
-        for at in range(0, len(q_ids), step):
-            yield from self._batch(q_ids[at : at + step], queries[at : at + step], k)
+        at = 0
+        while at < len(q_ids):  # as many as have told where to begin
+            end = at + max(1, min(COUNTERS // len(self.ids), 2 * len(self.recent)))
+            yield from self._batch(q_ids[at:end], queries[at:end], k)
+            at = end
+
+    def _collided(self, at: int, part: np.ndarray, low: np.ndarray, width: np.ndarray) -> np.ndarray:
+        """The rows of a part, which begins at row at, that lie in THRESHOLD windows or more. A row is dropped once it is
+        outside of too many; when few are left, the other projections are looked up for these alone."""
+        rows, most = part.shape[1], PROJECTIONS - THRESHOLD
+        outside = np.zeros(rows, np.uint8)
+        far = np.empty((AXES_AT_ONCE, rows), np.uint8)
+        for j in range(0, PROJECTIONS - AXES_AT_ONCE, AXES_AT_ONCE):
+            own, end = slice(j, j + AXES_AT_ONCE), j + AXES_AT_ONCE
+            np.subtract(part[own], low[own, None], out=far)  # quantiles below the window come out above its width
+            np.greater(far, width[own, None], out=far.view(bool))
+            outside += np.add.reduce(far, axis=0, dtype=np.uint8)
+            if end > most and np.count_nonzero(outside <= most) <= rows // 8:
+                break
+        left = np.flatnonzero(outside <= most)
+        rest = (self.by_row[at + left, end:] - low[end:] > width[end:]).sum(axis=1)
+        return at + left[outside[left] + rest <= most]
 
     def _batch(self, q_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        n, m = len(self.ids), PROJECTIONS
         q_norms = np.sqrt((queries * queries).sum(axis=1))
         centre = (queries / q_norms[:, None]) @ self.axes.T
-        counts = np.zeros((len(q_ids), n), np.int16)
-        left = np.stack([np.searchsorted(self.sorted[j], centre[:, j]) for j in range(m)], axis=1)
-        right = left.copy()
-        seen = np.zeros((len(q_ids), n), bool)
+        seen = np.zeros((len(q_ids), len(self.ids)), bool)
         best = [(np.empty(0, np.int64), np.empty(0)) for _ in q_ids]
-        active, radius = np.arange(len(q_ids)), FIRST_RADIUS
+        begin = max(0, int(np.quantile(self.recent, 0.25)) - 1) if self.recent else 0
+        steps, active = np.full(len(q_ids), begin), np.arange(len(q_ids))
         while len(active):
-            low = np.stack([np.searchsorted(self.sorted[j], centre[active, j] - HALF * radius) for j in range(m)], axis=1)
-            high = np.stack([np.searchsorted(self.sorted[j], centre[active, j] + HALF * radius, side="right") for j in range(m)], axis=1)
+            low, width = self._windows(centre[active], HALF * FIRST_RADIUS * GROWTH ** steps[active, None].astype(float))
+            met: list[list[np.ndarray]] = [[] for _ in active]
+            for at, part in self.parts:
+                for i, q in enumerate(active):
+                    if steps[q] < LAST:
+                        met[i].append(self._collided(at, part, low[i], width[i]))
             going = []
             for i, q in enumerate(active):
-                rings = [self.order[j, a:b] for j, (a, b) in enumerate(zip(low[i], left[q], strict=True)) if a < b]
-                rings += [self.order[j, a:b] for j, (a, b) in enumerate(zip(right[q], high[i], strict=True)) if a < b]
-                if rings:
-                    counts[q] += np.bincount(np.concatenate(rings), minlength=n).astype(np.int16)
-                left[q], right[q] = low[i], high[i]
-                last = radius >= 2.0  # no two unit vectors are further apart: whatever is left is verified
-                new = np.flatnonzero(~seen[q] if last else (counts[q] >= THRESHOLD) & ~seen[q])
+                last = steps[q] >= LAST
+                new = np.arange(len(self.ids)) if last else np.concatenate(met[i])
+                new = new[~seen[q, new]]
                 if len(new):
                     seen[q, new] = True
                     new = new[self.ids[new] != q_ids[q]]
@@ -91,10 +147,13 @@ class BlockIndex:
                     top = np.lexsort((ids, -score))[:k]
                     best[q] = (ids[top], score[top])
                 found = best[q][1]
-                if not last and (len(found) < k or math.sqrt(max(0.0, 2 - 2 * found[k - 1])) > radius):
+                need = step_of(math.sqrt(max(0.0, 2 - 2 * found[k - 1]))) if len(found) >= k else LAST
+                if last or need <= steps[q]:
+                    self.recent.append(min(need, LAST))
+                else:
+                    steps[q] += 1
                     going.append(q)
             active = np.array(going, np.int64)
-            radius *= GROWTH
         for q, (ids, score) in zip(q_ids, best, strict=True):
             yield int(q), ids, score
 
