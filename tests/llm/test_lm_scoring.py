@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 
@@ -54,6 +55,39 @@ def test_gradients():
             assert abs(slope - g[k][at]) < 1e-4 * max(1, abs(slope)), (k, at)
 
 
+def test_hashes_follow_the_pattern_and_are_cheap(spark, monkeypatch):
+    """Tokens are cut as TOKEN cuts them, equal ones alone have equal hashes, and hashing takes less time than TOKEN alone."""
+    r = random.Random(1)
+    some = [lambda: r.randrange(128), lambda: r.randrange(0x3000), lambda: r.randrange(0x110000), lambda: r.choice(" \n\x1c\u03a3\u0130\ud800_.")]
+    texts = ["".join(c if isinstance(c := r.choice(some)(), str) else chr(c) for _ in range(r.randrange(300))) for _ in range(1000)] + [None, "", "x" * 1000, " " * 500]
+    with monkeypatch.context() as m:
+        m.setattr(lm, "CHARS", 64)
+        counts, found = lm.token_hashes(texts)
+    want = [lm.tokens_of(t) for t in texts]
+    assert counts.tolist() == [len(x) for x in want] and len(found) == sum(counts)
+    of: dict[str, int] = {}
+    assert all(of.setdefault(w, h) == h for w, h in zip((w for x in want for w in x), found.tolist(), strict=True))
+    assert len(set(of.values())) == len(of) > 10_000
+    assert all(int(lm.hashed(w)[0]) == h for w, h in list(of.items())[:200])
+    docs = [x.text for x in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()] * 4
+    begun = time.process_time()
+    n = sum(len(lm.tokens_of(t)) for t in docs)
+    between = time.process_time()
+    assert lm.token_hashes(docs)[0].sum() == n
+    assert time.process_time() - between < between - begun
+
+
+def test_ids_and_contexts_of_many_texts():
+    rng = np.random.default_rng(5)
+    words, rest = np.split(rng.integers(0, 1 << 64, 3000, np.uint64), [lm.VOCABULARY - lm.BUCKETS])
+    place = {int(w): i for i, w in enumerate(words)}
+    got = lm.Ids(words.tolist()).of(np.concatenate([rest, words, rest]))
+    assert got.tolist() == [place.get(int(h), lm.VOCABULARY - lm.BUCKETS + int(h) % lm.BUCKETS) for h in (*rest, *words, *rest)]
+    counts = np.array([0, 1, 5, 0, 2, 0])
+    ends = np.cumsum(counts)
+    assert lm.contexts_of(got[:8], counts).tolist() == [c for a, z in zip(ends - counts, ends) for c in lm.contexts(got[a:z]).tolist()]
+
+
 ROWS = [(1, "The cat, the dog."), (1, "The cat, the dog."), (2, None), (3, ""), (4, " \n"), (None, "word"), (5, "alpha beta gamma " * 9000)]
 
 

@@ -22,7 +22,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
 
 from vexel.plans.storage import bounded_batches, materialise
 
@@ -34,14 +33,16 @@ DIM, HIDDEN = 8, 32
 SHARD_WINDOWS, AT_ONCE = 1_000_000, 2_000_000
 ROUNDS = 3
 BATCH, RATE = 2048, 0.4
-#: Tokens that a partition counts before it hands the counts on, and words whose hashes a worker remembers.
-COUNTED, MEMO = 2_000_000, 200_000
+#: Tokens that a partition counts before it hands the counts on, and characters that are hashed together.
+COUNTED, CHARS = 2_000_000, 1 << 17
 #: Networks that are added up in one task.
 FAN = 16
 #: Tokens that are scored together.
 TOGETHER = 16_384
 
 TOKEN = re.compile(r"\w+|[^\w\s]")
+#: Begins a token or stands between two, so a text can be cut there.
+CUT = re.compile(r"\W")
 VOCABULARY = CLASSES * MEMBERS
 PAD = VOCABULARY
 
@@ -51,21 +52,93 @@ def tokens_of(text: str | None) -> list[str]:
     return TOKEN.findall((text or "").lower())
 
 
-class _Hashes(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) >= MEMO:
-            self.clear()
-        h = self[word] = xxh64_intdigest(word)
-        return h
-
-
-_hashes = _Hashes()
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """uint64 whose every bit depends on every bit of h; one to one (the last step of splitmix64)."""
+    h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return h ^ h >> np.uint64(31)
+
+
+class _Characters:
+    """Of every code point its kind as TOKEN has it and a random number; powers of BASE and of its inverse."""
+
+    SPACE, OTHER, WORD = range(3)
+    BASE = 0x9E3779B97F4A7C15
+
+    def __init__(self):
+        every = "".join(map(chr, range(0x110000)))
+        self.kind = np.full(len(every), self.OTHER, np.uint8)
+        for pattern, kind in ((r"\s+", self.SPACE), (r"\w+", self.WORD)):
+            for m in re.finditer(pattern, every):
+                self.kind[m.start() : m.end()] = kind
+        self.number = _mixed(np.arange(1, len(every) + 1, dtype=np.uint64) * np.uint64(self.BASE))
+        self.powers = self.inverse = np.empty(0, np.uint64)
+
+    def reach(self, n: int) -> None:
+        """Have n powers."""
+        if len(self.powers) < n:
+            self.powers, self.inverse = (np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, x, np.uint64)])) for x in (self.BASE, pow(self.BASE, -1, 1 << 64)))
+
+    def hashes(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each token of a text begins, and its hash: the numbers of its characters times powers, summed, mixed. A
+        sum over a token is the difference of two sums from the text's beginning, brought to power 0."""
+        self.reach(len(codes))
+        kind = np.take(self.kind, codes)
+        word, other = kind == self.WORD, kind == self.OTHER
+        inside = word[1:] & word[:-1]  # a character and the one before are of one token
+        starts, ends = word | other, word | other
+        starts[1:] &= ~inside
+        ends[:-1] &= ~inside
+        starts, ends = np.flatnonzero(starts), np.flatnonzero(ends) + 1
+        sums = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum(np.take(self.number, codes) * self.powers[: len(codes)], out=sums[1:])
+        return starts, _mixed((sums[ends] - sums[starts]) * self.inverse[starts])
+
+
+_characters: list[_Characters] = []
+
+
+def _pieces(text: str) -> Iterator[str]:
+    """text in parts of some CHARS characters, cut where no token is broken."""
+    at = 0
+    while len(text) - at > CHARS and (m := CUT.search(text, at + CHARS)):
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:]
+
+
+def token_hashes(texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """How many tokens each text has, and the hashes (uint64) of all."""
+    if not _characters:
+        _characters.append(_Characters())
+    counts: list[int] = []
+    found, held, own, size = [np.empty(0, np.uint64)], [], [], 0
+
+    def hash_held() -> None:
+        codes = np.frombuffer("\n".join(held).encode("utf-32-le", "surrogatepass"), np.uint32)
+        starts, h = _characters[0].hashes(codes)
+        found.append(h)
+        ends = np.searchsorted(starts, np.cumsum([len(x) + 1 for x in held]))
+        for i, n in zip(own, np.diff(ends, prepend=0).tolist(), strict=True):
+            counts[i] += n
+
+    for i, text in enumerate(texts):
+        counts.append(0)
+        for piece in _pieces((text or "").lower()):
+            held.append(piece)
+            own.append(i)
+            size += len(piece) + 1
+            if size >= CHARS:
+                hash_held()
+                held, own, size = [], [], 0
+    if held:
+        hash_held()
+    return np.array(counts, np.int64), np.concatenate(found)
 
 
 def hashed(text: str | None) -> np.ndarray:
     """uint64: the hashes of a text's tokens."""
-    tokens = tokens_of(text)
-    return np.fromiter(map(_hashes.__getitem__, tokens), np.uint64, len(tokens))
+    return token_hashes([text])[1]
 
 
 def bucket_of(h: np.ndarray) -> np.ndarray:
@@ -81,16 +154,33 @@ class Ids:
     """A token's id: its place in the vocabulary, or a bucket after it. words are hashes, most frequent first."""
 
     def __init__(self, words: Iterable[int]):
-        own = np.array([int(w) & (1 << 64) - 1 for w in words], np.uint64)
-        self.order = np.argsort(own, kind="stable")
-        self.sorted = own[self.order]
+        self.words = np.array([int(w) & (1 << 64) - 1 for w in words], np.uint64)
+        self.factor, self.table = 0, None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"table": None}  # made again where it is used
+
+    def _key(self, h: np.ndarray) -> np.ndarray:
+        return (h * np.uint64(self.factor)) >> np.uint64(44)
+
+    def _fill(self) -> None:
+        """A table of 20 bits that has each word's place at a key of its own, by the first factor that allows it."""
+        rng = np.random.default_rng(0)
+        while True:
+            self.factor = int(rng.integers(1 << 63)) * 2 + 1
+            keys = self._key(self.words)
+            if len(np.unique(keys)) == len(np.unique(self.words)):
+                break
+        self.table = np.zeros(1 << 20, np.int16)
+        self.table[keys[::-1]] = np.arange(len(keys))[::-1]
 
     def of(self, h: np.ndarray) -> np.ndarray:
         out = VOCABULARY - BUCKETS + bucket_of(h)
-        if len(self.sorted):
-            at = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
-            known = self.sorted[at] == h
-            out[known] = self.order[at[known]]
+        if len(self.words):
+            if self.table is None:
+                self._fill()
+            at = np.take(self.table, self._key(h))
+            np.copyto(out, at, where=np.take(self.words, at) == h)
         return out
 
 
@@ -111,6 +201,14 @@ def contexts(ids: np.ndarray) -> np.ndarray:
     return np.stack([padded[k : k + n] for k in range(2 * SIDE + 1) if k != SIDE], axis=1)
 
 
+def contexts_of(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """contexts of texts that lie one after the other, each of so many tokens."""
+    at = np.arange(len(ids)) + SIDE * np.repeat(np.arange(1, len(counts) + 1), counts)
+    padded = np.full(len(ids) + SIDE * (len(counts) + 1), PAD, ids.dtype)
+    padded[at] = ids
+    return np.stack([padded[at + k] for k in range(-SIDE, SIDE + 1) if k], axis=1)
+
+
 def fresh(counts: np.ndarray, seed: int = 3) -> Params:
     """A network whose output without a context is the corpus's word frequencies."""
     rng = np.random.default_rng(seed)
@@ -135,11 +233,11 @@ def _tanh(z: np.ndarray) -> np.ndarray:
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
-    """Of each row, in place."""
+    """Of each row, over the number of rows, in place."""
     if max(z.max(), -z.min()) > 40:  # else neither exp nor its sum leaves the range of single precision
         z -= z.max(axis=1, keepdims=True)
     np.exp(z, out=z)
-    z /= (z @ np.ones(z.shape[1], z.dtype))[:, None]
+    z *= (1 / (z @ np.full(z.shape[1], len(z), z.dtype)))[:, None]
     return z
 
 
@@ -200,71 +298,90 @@ class Space(dict):
         return self[key]
 
 
-def gradients(p: Params, context: np.ndarray, target: np.ndarray, space: Space | None = None) -> Params:
-    """Of the mean negative log-probability. The arrays are space's, if one is given."""
-    space = Space() if space is None else space
-    n, E = len(target), p["E"]
+class Joined:
+    """A network, or its gradients, in one array. W, A and B have their biases as a last row."""
+
+    def __init__(self, flat: np.ndarray):
+        self.flat = flat
+        shapes = (VOCABULARY + 1, DIM), (2 * SIDE * DIM + 1, HIDDEN), (HIDDEN + 1, CLASSES), (CLASSES, HIDDEN + 1, MEMBERS)
+        ends = np.cumsum([0, *map(math.prod, shapes)])
+        self.E, self.W, self.A, self.B = (flat[a:z].reshape(x) for a, z, x in zip(ends, ends[1:], shapes))
+
+    @classmethod
+    def of(cls, p: Params) -> Joined:
+        return cls(np.concatenate([p["E"].ravel(), p["W"].ravel(), p["b"], p["A"].ravel(), p["a"], np.concatenate([p["B"], p["c"][:, None]], axis=1).ravel()]))
+
+    def apart(self) -> Params:
+        return {"E": self.E, "W": self.W[:-1], "b": self.W[-1], "A": self.A[:-1], "a": self.A[-1], "B": self.B[:, :-1], "c": self.B[:, -1]}
+
+
+def gradients(p: Params, context: np.ndarray, target: np.ndarray) -> Params:
+    """Of the mean negative log-probability."""
+    own = Joined.of(p)
+    g = Joined(np.empty_like(own.flat))
+    _gradients(own, g, context, target, Space())
+    return g.apart()
+
+
+def _gradients(p: Joined, g: Joined, context: np.ndarray, target: np.ndarray, space: Space) -> None:
+    """Fills g; space holds the layers."""
+    n, E = len(target), p.E
     cls, member = place(target)
     order, ends = by_class(cls)
-    context, cls, member = context[order], cls[order], member[order]
+    context, cls, member = np.take(context, order, axis=0), cls[order], member[order]
     x = np.take(E, context, axis=0, out=space.of("x", n, 2 * SIDE, DIM, like=E), mode="clip").reshape(n, -1)
-    h = np.matmul(x, p["W"], out=space.of("h", n, HIDDEN, like=E))
-    h += p["b"]
+    h = np.matmul(x, p.W[:-1], out=space.of("h", n, HIDDEN, like=E))
+    h += p.W[-1]
     _tanh(h)
-    g = {k: space.of(k, *p[k].shape, like=p[k]) for k in p}
-    rows, mean = np.arange(n), np.full(n, 1 / n, h.dtype)
-    d = np.matmul(h, p["A"], out=space.of("d", n, CLASSES, like=E))
-    d += p["a"]
-    _softmax(d)
-    d[rows, cls] -= 1
-    np.matmul(h.T, d, out=g["A"])
-    g["A"] /= n
-    np.matmul(mean, d, out=g["a"])
-    dh = np.matmul(d, p["A"].T, out=space.of("dh", n, HIDDEN, like=E))
-    z = np.take(p["c"], cls, axis=0, out=space.of("z", n, MEMBERS, like=E), mode="clip")
-    parts = [(k, slice(a, b)) for k, (a, b) in enumerate(zip(ends, ends[1:])) if a < b]
-    for k, own in parts:
-        z[own] += h[own] @ p["B"][k]
+    h1 = space.of("h1", n, HIDDEN + 1, like=E)
+    h1[:, :HIDDEN], h1[:, HIDDEN] = h, 1
+    rows, part = np.arange(n), E.dtype.type(1 / n)
+    d = _softmax(np.matmul(h1, p.A, out=space.of("d", n, CLASSES, like=E)))
+    d[rows, cls] -= part
+    np.matmul(h1.T, d, out=g.A)
+    dh = np.matmul(d, p.A[:-1].T, out=space.of("dh", n, HIDDEN, like=E))
+    z = space.of("z", n, MEMBERS, like=E)
+    parts = [(k, h1[a:b], z[a:b], dh[a:b]) for k, (a, b) in enumerate(zip(ends, ends[1:])) if a < b]
+    for k, own, out, _ in parts:
+        np.matmul(own, p.B[k], out=out)
     _softmax(z)
-    z[rows, member] -= 1
-    for k, (a, b) in enumerate(zip(ends, ends[1:])):
-        np.matmul(h[a:b].T, z[a:b], out=g["B"][k])
-        np.matmul(mean[a:b], z[a:b], out=g["c"][k])
-        if a < b:
-            dh[a:b] += z[a:b] @ p["B"][k].T
-    g["B"] /= n
+    z[rows, member] -= part
+    if len(parts) < CLASSES:
+        g.B.fill(0)
+    for k, own, out, back in parts:
+        np.matmul(own.T, out, out=g.B[k])
+        back += out @ p.B[k, :-1].T
     np.multiply(h, h, out=h)
     np.subtract(1, h, out=h)
-    h /= n
     dz = np.multiply(dh, h, out=dh)
-    np.matmul(x.T, dz, out=g["W"])
-    np.matmul(np.ones(n, h.dtype), dz, out=g["b"])
-    dx = np.matmul(dz, p["W"].T, out=x).reshape(-1, DIM)
+    np.matmul(x.T, dz, out=g.W[:-1])
+    np.matmul(np.ones(n, E.dtype), dz, out=g.W[-1])
+    dx = np.matmul(dz, p.W[:-1].T, out=x).reshape(-1, DIM)
     at = context.ravel()
     order = np.argsort(at.astype(np.uint16), kind="stable")
     at = at[order]
     first = np.flatnonzero(np.diff(at, prepend=-1))
-    g["E"].fill(0)
-    g["E"][at[first]] = np.add.reduceat(np.take(dx, order, axis=0, out=space.of("dx", *dx.shape, like=E), mode="clip"), first, axis=0)
-    return g
+    dx = np.take(dx, order, axis=0, out=space.of("dx", *dx.shape, like=E), mode="clip")
+    pairs = np.result_type(E.dtype, np.complex64)  # two numbers are added as one complex number, which is faster
+    g.E.fill(0)
+    g.E[at[first]] = np.add.reduceat(dx.view(pairs), first, axis=0).view(E.dtype)
 
 
 def train(p: Params, windows: np.ndarray, seed: int) -> Params:
     """One pass over windows [n, 2 * SIDE + 1] (context, then target) in a seeded order, by Adagrad."""
-    p = {k: v.copy() for k, v in p.items()}
-    scale = {k: np.full_like(v, 1e-3) for k, v in p.items()}
-    step = {k: np.empty_like(v) for k, v in p.items()}
+    own = Joined.of(p)
+    g = Joined(np.empty_like(own.flat))
+    scale, step = np.full_like(own.flat, 1e-3), np.empty_like(own.flat)
     order, space = np.random.default_rng(seed).permutation(len(windows)), Space()
     for at in range(0, len(order), BATCH):
         w = windows[order[at : at + BATCH]].astype(np.int64)
-        for k, g in gradients(p, w[:, :-1], w[:, -1], space).items():
-            t = np.multiply(g, g, out=step[k])
-            scale[k] += t
-            np.sqrt(scale[k], out=t)
-            np.divide(g, t, out=t)
-            t *= RATE
-            p[k] -= t
-    return p
+        _gradients(own, g, w[:, :-1], w[:, -1], space)
+        scale += np.multiply(g.flat, g.flat, out=step)
+        np.sqrt(scale, out=step)
+        np.divide(g.flat, step, out=step)
+        step *= RATE
+        own.flat -= step
+    return own.apart()
 
 
 def pack(p: Params) -> bytes:
@@ -279,13 +396,18 @@ def unpack(data: bytes, like: Params) -> Params:
     return out
 
 
+def _split(tokens: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    ends = np.cumsum(counts).tolist()
+    return [tokens[a:z].tobytes() for a, z in zip([0, *ends], ends)]
+
+
 def tokenised(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(k, n, w) per row of docs: the number of tokens, and their hashes as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = [hashed(t.as_py()) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(w) for w in own], pa.int64()), pa.array([w.tobytes() for w in own], pa.binary())], ["k", "n", "w"])
+            n, h = token_hashes(b.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(_split(h, n), pa.binary())], ["k", "n", "w"])
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).mapInArrow(run, f"k {kind}, n long, w binary")
@@ -323,7 +445,8 @@ def _targets(texts: DataFrame, ids: Ids) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([ids.of(w).astype(np.uint16).tobytes() for w in _hashes_of(b.column(2))], pa.binary())], ["row", "n", "w"])
+            own = ids.of(np.concatenate([np.empty(0, np.uint64), *_hashes_of(b.column(2))])).astype(np.uint16)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(_split(own, b.column(1).to_numpy()), pa.binary())], ["row", "n", "w"])
 
     return texts.where("n > 0").select("row", "n", "w").mapInArrow(run, "row long, n long, w binary")
 
@@ -442,8 +565,7 @@ def score(texts: DataFrame, ids: Ids, p: Params, share: np.ndarray | None = None
                     last += 1
                 h = np.concatenate(rows[first:last])
                 target = ids.of(h)
-                bounds = np.cumsum([0, *sizes[first:last]])
-                context = np.concatenate([contexts(target[a:z]) for a, z in zip(bounds, bounds[1:], strict=False)])
+                context = contexts_of(target, sizes[first:last])
                 found = np.concatenate([np.empty(0), *(log_probs(net, context[a : a + TOGETHER], target[a : a + TOGETHER]) for a in range(0, n, TOGETHER))])
                 if share is not None:
                     rest = target >= VOCABULARY - BUCKETS
