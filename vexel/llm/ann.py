@@ -7,7 +7,7 @@ rebuilt); its ends are moved to the nearest ends of quantiles, and its centre's
 with probability 2 Phi(HALF * R / d) - 1, so rows at R collide in 89 % of the arrays and rows at 1.25 R in 80 %. Rows
 whose collisions reach THRESHOLD are verified by the exact measure on the original vectors. A query is done when its
 k-th best verified row lies within R (Huang et al. 2015). Radii are FIRST_RADIUS times powers of GROWTH. Windows only grow,
-so smaller radii can be left out without losing a row: a query begins a step below where most others of its block ended.
+so smaller radii can be left out without losing a row: a query begins where three of four others of its block had to go.
 
 Rows are dealt into blocks by hashed identifier; each block is indexed where it lies, wholly, and every query visits
 every block, in batches. There is no cap on collisions or candidates: a very common vector is verified row by row.
@@ -85,9 +85,12 @@ class BlockIndex:
     def _half(self, j: int, p: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.edges[j], p, side="right")
 
-    def _windows(self, centre: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of queries [query, axis]: the first quantile of each window, and how many follow."""
-        low, mid, high = (np.stack([self._half(j, p[:, j]) for j in range(PROJECTIONS)], axis=1) for p in (centre - reach, centre, centre + reach))
+    def _halves(self, p: np.ndarray) -> np.ndarray:
+        return np.stack([self._half(j, own) for j, own in enumerate(np.ascontiguousarray(p.T))], axis=1)
+
+    def _windows(self, centre: np.ndarray, reach: np.ndarray | float, mid: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Of queries [query, axis]: the first quantile of each window, and how many follow. mid: _halves of centre."""
+        low, mid, high = self._halves(centre - reach), self._halves(centre) if mid is None else mid, self._halves(centre + reach)
         low, high = np.minimum(low + 1, mid) >> 1, np.maximum(high - 1, mid) >> 1
         return low.astype(np.uint8), (high - low).astype(np.uint8)
 
@@ -95,7 +98,8 @@ class BlockIndex:
         """For each query its id, and the ids and scores of its k nearest found here, its own id left out."""
         at = 0
         while at < len(q_ids):  # as many as have told where to begin
-            end = at + max(1, min(COUNTERS // len(self.ids), 2 * len(self.recent)))
+            most = max(1, COUNTERS // len(self.ids))
+            end = at + (most if len(self.recent) == RECENT else min(most, max(1, len(self.recent))))
             yield from self._batch(q_ids[at:end], queries[at:end], k)
             at = end
 
@@ -119,12 +123,13 @@ class BlockIndex:
     def _batch(self, q_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         q_norms = np.sqrt((queries * queries).sum(axis=1))
         centre = (queries / q_norms[:, None]) @ self.axes.T
+        mid = self._halves(centre)
         seen = np.zeros((len(q_ids), len(self.ids)), bool)
         best = [(np.empty(0, np.int64), np.empty(0)) for _ in q_ids]
-        begin = max(0, int(np.quantile(self.recent, 0.25)) - 1) if self.recent else 0
+        begin = int(np.quantile(self.recent, 0.25)) if self.recent else 0
         steps, active = np.full(len(q_ids), begin), np.arange(len(q_ids))
         while len(active):
-            low, width = self._windows(centre[active], HALF * FIRST_RADIUS * GROWTH ** steps[active, None].astype(float))
+            low, width = self._windows(centre[active], HALF * FIRST_RADIUS * GROWTH ** steps[active, None].astype(float), mid[active])
             met: list[list[np.ndarray]] = [[] for _ in active]
             for at, part in self.parts:
                 for i, q in enumerate(active):
