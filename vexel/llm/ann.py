@@ -7,7 +7,7 @@ rebuilt); its ends are moved to the nearest ends of quantiles, and its centre's
 with probability 2 Phi(HALF * R / d) - 1, so rows at R collide in 89 % of the arrays and rows at 1.25 R in 80 %. Rows
 whose collisions reach THRESHOLD are verified by the exact measure on the original vectors. A query is done when its
 k-th best verified row lies within R (Huang et al. 2015). Radii are FIRST_RADIUS times powers of GROWTH. Windows only grow,
-so smaller radii can be left out without losing a row: a query begins where three of four others of its block had to go.
+so smaller radii can be left out without losing a row: a query begins where three of four others of its block had to go or further.
 
 Rows are dealt into blocks by hashed identifier; each block is indexed where it lies, wholly, and every query visits
 every block, in batches. There is no cap on collisions or candidates: a very common vector is verified row by row.
