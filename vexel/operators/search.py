@@ -77,8 +77,8 @@ def _predicate(predicate: Callable[[str], bool] | Column | None) -> Column | Non
 def knn_join(queries: DataFrame, table: DataFrame, k: int = 10, metric: str = "cosine", where: dict | None = None, method: str = "blocks") -> DataFrame:
     """qid, rank, slot, id, score of the k nearest live rows of every query (qid, v).
 
-    "blocks" deals rows into blocks and multiplies matrices; "expression" is a broadcast join of column expressions,
-    for small query sets and readable plans.
+    "blocks" streams the rows past the queries and multiplies matrices; "expression" is a broadcast join of column
+    expressions, for few pairs and readable plans. Every row meets every query in both, and they give the same hits.
     """
     k = check_k(k)
     check_metric(metric)
@@ -88,7 +88,4 @@ def knn_join(queries: DataFrame, table: DataFrame, k: int = 10, metric: str = "c
     if method == "expression" and queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
         pairs = rows.crossJoin(F.broadcast(queries.select("qid", F.col("v").alias("q"))))
         return blocks.ranked(pairs.select("qid", "slot", "id", score_column(F.col("v"), F.col("q"), metric).alias("score")), k).select("qid", "rank", "slot", "id", "score")
-    n = blocks.n_blocks(rows.select("slot").count(), table.sparkSession.sparkContext.defaultParallelism)
-    data = rows.select(F.pmod(F.xxhash64("slot"), F.lit(n)).cast("int").alias("block"), "slot", "id", "v")
-    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"), F.col("qid").cast("long").alias("qid"), "v")
-    return blocks.ranked(blocks.block_topk(data, asked, k, metric, n), k).select("qid", "rank", "slot", "id", "score")
+    return blocks.all_topk(rows, queries, k, metric)

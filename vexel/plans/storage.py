@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
 import weakref
 
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
@@ -68,6 +70,25 @@ def written_at(table: DataFrame) -> str:
     return _tables[table]
 
 
+def opened(uri: str) -> tuple[pafs.FileSystem, str]:
+    if uri.startswith("/"):
+        uri = "file://" + uri
+    return pafs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri))
+
+
+def files_of(table: DataFrame) -> list[str]:
+    """The files of a table that materialise has written, for tasks that read them by themselves."""
+    spark = table.sparkSession
+    root = spark._jvm.org.apache.hadoop.fs.Path(written_at(table))
+    found = root.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(root, True)
+    out = []
+    while found.hasNext():
+        at = found.next().getPath().toString()
+        if at.endswith(".parquet"):
+            out.append(at)
+    return sorted(out)
+
+
 def discard(*tables: DataFrame) -> None:
     """Remove tables that materialise has written and nothing reads any more."""
     for t in tables:
