@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vexel.operators import blocks, graph
+from vexel.operators import blocks, graph, search
 from vexel.operators.blocks import Nearest, Rows
 from vexel.operators.graph import GraphIndex
 from vexel.operators.search import knn_join
@@ -73,6 +73,18 @@ def test_no_table_is_dealt(spark):
     assert {(r.src, r.dst) for r in edges.collect()} == {(i, int(j)) for i in range(5000) for j in np.argsort(-s[i], kind="stable")[:5]}
 
 
+def test_expression_join_goes_over_to_blocks(spark, monkeypatch):
+    """By pairs, not only by queries: a large table isn't crossed and sorted."""
+    t = materialise(vector_table(generate(spark, 300, 8), 8), "test")
+    q = generate(spark, 20, 8, 99).select(F.col("id").alias("qid"), F.col("embedding").alias("v"))
+    small = knn_join(q, t, 4, method="expression")
+    monkeypatch.setattr(search, "EXPRESSION_PAIRS", 5999)
+    large = knn_join(q, t, 4, method="expression")
+    assert "NestedLoop" in small._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in large._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, large.collect()))
+
+
 def test_graph_of_segments(spark, monkeypatch, tmp_path):
     """Several segments: recall, inserts, deletes; lists stay inside a segment, and a search makes no table a step."""
     monkeypatch.setattr(graph, "SEGMENT", 300 * 16)

@@ -17,8 +17,9 @@ from vexel.operators import blocks
 from vexel.plans.predicate import compile_where
 from vexel.schema import check_k, check_metric, check_query
 
-#: Queries up to which the expression join broadcasts them (at 1,024 dimensions some 80 MB); beyond, blocks are used.
-BROADCAST_QUERIES = 10_000
+#: Queries up to which the expression join broadcasts them (at 1,024 dimensions some 80 MB), and pairs that it scores and
+#: sorts (some 3 microseconds each); beyond either, blocks are used.
+BROADCAST_QUERIES, EXPRESSION_PAIRS = 10_000, 5_000_000
 #: How many times k hits a post-filtered search looks at.
 OVERFETCH = 4
 
@@ -85,7 +86,8 @@ def knn_join(queries: DataFrame, table: DataFrame, k: int = 10, metric: str = "c
     test = compile_where(where, F.col("metadata"))
     rows = live(table) if test is None else live(table).where(test)
     rows = rows.select("slot", "id", F.col("embedding").alias("v"))
-    if method == "expression" and queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
+    n = queries.limit(BROADCAST_QUERIES + 1).count() if method == "expression" else None
+    if n is not None and n <= BROADCAST_QUERIES and n * rows.count() <= EXPRESSION_PAIRS:
         pairs = rows.crossJoin(F.broadcast(queries.select("qid", F.col("v").alias("q"))))
         return blocks.ranked(pairs.select("qid", "slot", "id", score_column(F.col("v"), F.col("q"), metric).alias("score")), k).select("qid", "rank", "slot", "id", "score")
     return blocks.all_topk(rows, queries, k, metric)
